@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require_columns
+from .common import checkpointed, require_columns
 
 #: Which of eleven consecutive tokens count, a mask a row; the others may differ.
 MASKS = ("11011010111", "11101101011", "10110111011")
@@ -13,23 +13,25 @@ SPAN = len(MASKS[0])
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits; null and empty texts have none."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    """Hashes of the lower-cased runs of letters and digits; other characters at the ends leave an empty token there."""
+    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
-def _seed(hashes: str, at: str, number: int, span: int) -> Column:
-    """The hash of the tokens that mask `number`, cut to `span` tokens, takes at a position."""
-    taken = [F.get(hashes, F.col(at) + i) for i, bit in enumerate(MASKS[number][:span]) if bit == "1"]
-    return F.xxhash64(F.lit(number * 100 + span), *taken)
+def _seeds(rows: DataFrame, hashes: str, span: int) -> DataFrame:
+    """A row per position and mask, cut to `span` tokens, with `at` and the `seed` of the tokens that the mask takes."""
+    masks = [[i for i, bit in enumerate(m[:span]) if bit == "1"] for m in (MASKS if span == SPAN else MASKS[:1])]
+    places = F.size(hashes) - span + 1
+    placed = rows.withColumn("__n", F.explode(F.when(places > 0, F.sequence(F.lit(0), places * len(masks) - 1))))
+    placed = placed.withColumn("at", F.floor(F.col("__n") / len(masks)).cast("int")).withColumn("__m", F.col("__n") % len(masks))
 
+    def offset(i: int) -> Column:
+        out = F.lit(masks[-1][i])
+        for m in range(len(masks) - 2, -1, -1):
+            out = F.when(F.col("__m") == m, masks[m][i]).otherwise(out)
+        return out
 
-def _seeds(rows: DataFrame, hashes: str, spans: list[int]) -> DataFrame:
-    """A row per position, mask and span that fits, with `at` and `seed`."""
-    least = min(spans)
-    placed = rows.where(F.size(hashes) >= least).withColumn("at", F.explode(F.sequence(F.lit(0), F.size(hashes) - least)))
-    seeds = [F.when(F.col("at") + n <= F.size(hashes), _seed(hashes, "at", m, n)) for n in spans for m in (range(len(MASKS)) if n == SPAN else (0,))]
-    return placed.withColumn("seed", F.explode(F.array(*seeds))).where("seed is not null")
+    taken = [F.get(hashes, F.col("at") + offset(i)) for i in range(len(masks[0]))]
+    return placed.withColumn("seed", F.xxhash64(F.col("__m") + 100 * span, *taken)).drop("__n", "__m")
 
 
 def find_overlaps(
@@ -42,51 +44,61 @@ def find_overlaps(
     least_tokens: int = 13,
     similarity: float = 0.8,
     around: int = 32,
-    max_broadcast_seeds: int = 400_000,
+    max_broadcast: int = 400_000,
 ) -> DataFrame:
     """(doc_id, item_id, n_hits, matched_tokens, doc_token): documents that hold text of benchmark items.
 
     Masks hash every position of items and documents, leaving out some tokens; equal hashes are hits. Around
-    a hit, up to `around` tokens each way, both are aligned: the pair counts if some `least_tokens`
+    the hits of one alignment, up to `around` tokens each way, both are compared: the pair counts if some `least_tokens`
     consecutive places (all of a shorter item) agree in at least the share `similarity`. n_hits counts
     verified alignments, matched_tokens the most agreeing places of one, doc_token where the first starts.
 
     Items of fewer tokens than a mask are seeded with the mask cut to their length; items without tokens,
     null texts and empty tables give no rows. Repeated rows of one doc_id or item_id count together; null ids
-    match as a value of their own. The benchmark's seeds are broadcast up to `max_broadcast_seeds` rows; a
-    larger benchmark is joined by shuffling seeds, with equal results.
+    match as a value of their own. The benchmark's seeds and the documents with hits are broadcast up to
+    `max_broadcast` rows and joined by shuffling beyond, with equal results.
     """
     require_columns(docs, doc_id, text)
     require_columns(benchmark, item_id, item_text)
-    items = benchmark.select(F.col(item_id).alias("item_id"), token_hashes(F.col(item_text)).alias("item")).where(F.size("item") > 0)
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.filter(F.split(F.lower(F.coalesce(item_text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    items = checkpointed(items.select("item_id", F.xxhash64("words").alias("item_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct())
+    # an item shorter than the masks has its own span; there are SPAN - 1 such lengths at most
     short = [r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]
-    # an item shorter than the mask has one span, its own length; at most SPAN - 1 lengths
-    spans = sorted({SPAN, *short})
-    seeded = _seeds(items.where(F.size("item") >= SPAN), "item", [SPAN])
-    for n in short:
-        seeded = seeded.unionByName(_seeds(items.where(F.size("item") == n), "item", [n]))
-    first, last = F.greatest(F.col("at") - around, F.lit(0)), F.least(F.col("at") + SPAN + around, F.size("item"))
-    seeded = seeded.select("item_id", "seed", F.col("at").alias("item_at"), first.alias("item_first"), F.slice("item", first + 1, last - first).alias("part"), F.size("item").alias("item_size"))
-    if seeded.count() <= max_broadcast_seeds:
-        seeded = F.broadcast(seeded)
-    source = docs.select(F.col(doc_id).alias("doc_id"), token_hashes(F.col(text)).alias("own"))
-    hits = _seeds(source, "own", spans).join(seeded, "seed")
-    # the part of the document that lies beside the item's part, short at the document's ends
-    start = F.col("at") - (F.col("item_at") - F.col("item_first"))
-    hits = hits.withColumn("start", start)
-    cut = F.greatest(-F.col("start"), F.lit(0))
-    there = F.slice("own", F.greatest("start", F.lit(0)) + 1, F.greatest(F.size("part") - cut, F.lit(0)))
-    beside = F.zip_with(F.slice("part", cut + 1, F.size("part")), there, lambda a, b: F.when(a == b, 1).otherwise(0))
-    aligned = hits.select("doc_id", "item_id", F.least(F.lit(least_tokens), "item_size").alias("need"), (F.col("at") - F.col("item_at")).alias("diagonal"), F.greatest("start", F.lit(0)).alias("start"), beside.alias("same"))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("same") - F.col("need") + 1, F.lit(1))), lambda i: F.aggregate(F.slice("same", i, F.col("need")), F.lit(0), lambda acc, x: acc + x)
+    source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    hashed = source.select("doc_id", "th", token_hashes(F.col("text")).alias("own"))
+    hits = None
+    for span in (SPAN, *sorted(short)):
+        seeded = _seeds(items.where(F.size("item") >= SPAN if span == SPAN else F.size("item") == span), "item", span)
+        seeded = checkpointed(seeded.select("seed", "item_id", "item_key", F.col("at").alias("item_at")))
+        if seeded.count() <= max_broadcast:
+            seeded = F.broadcast(seeded)
+        met = _seeds(hashed, "own", span).select("doc_id", "th", "at", "seed").join(seeded, "seed")
+        hits = met if hits is None else hits.unionByName(met)
+    spots = checkpointed(
+        hits.groupBy("doc_id", "th", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"))
     )
-    good = aligned.where(F.size("same") >= F.col("need")).where(F.exists(windows, lambda n: n >= F.ceil(F.col("need") * similarity)))
-    agreed = F.aggregate("same", F.lit(0), lambda acc, x: acc + x)
-    spots = good.groupBy("doc_id", "item_id", "diagonal").agg(F.max(agreed).alias("matched"), F.min("start").alias("start"))
-    return spots.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_hits"), F.max("matched").cast("long").alias("matched_tokens"), F.min("start").cast("long").alias("doc_token")
+    # the hits' documents are tokenised again for the tokens beside each item
+    asked = spots.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("item_id", "item_key", "diagonal", "first", "last")).alias("spots"))
+    asked = F.broadcast(asked) if spots.count() <= max_broadcast else asked
+    again = source.join(asked, source.doc_id.eqNullSafe(asked["__id"]) & (source.th == asked["__th"])).select("doc_id", token_hashes(F.col("text")).alias("own"), "spots")
+    placed = again.select("doc_id", F.explode(F.transform("spots", lambda s: F.struct(*_beside(s, around)))).alias("s")).select("doc_id", "s.*")
+    both = placed.join(items, placed.item_key.eqNullSafe(items.item_key) & placed.item_id.eqNullSafe(items.item_id)).select(
+        "doc_id", placed.item_id, "start", "part", F.slice("item", F.col("item_start") + 1, F.size("part")).alias("item_part"), F.least(F.lit(least_tokens), F.size("item")).alias("need")
     )
+    same = F.zip_with("part", "item_part", lambda a, b: F.when(a == b, 1).otherwise(0))
+    aligned = both.withColumn("same", same).where(F.size("same") >= F.col("need"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("need") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("need")), F.lit(0), lambda acc, x: acc + x))
+    good = aligned.where(F.exists(windows, lambda n: n >= F.ceil(F.col("need") * similarity)))
+    matched = F.aggregate("same", F.lit(0), lambda acc, x: acc + x)
+    return good.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max(matched).cast("long").alias("matched_tokens"), F.min("start").cast("long").alias("doc_token"))
+
+
+def _beside(spot: Column, around: int) -> list[Column]:
+    """The document's tokens from `around` before a diagonal's first hit to `around` after its last, inside both texts' fronts."""
+    item_start = F.greatest(spot["first"] - around, F.lit(0), -spot["diagonal"])
+    start = item_start + spot["diagonal"]
+    part = F.slice("own", start + 1, spot["last"] + SPAN + around - item_start)
+    return [spot["item_id"].alias("item_id"), spot["item_key"].alias("item_key"), item_start.alias("item_start"), start.alias("start"), part.alias("part")]
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_ids: int = 200_000, **options) -> DataFrame:
@@ -95,8 +107,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_
     All rows of a contaminated doc_id go; rows with a null id are judged together. Ids to drop are broadcast up
     to `max_broadcast_ids` rows and joined by shuffling beyond.
     """
-    from .common import checkpointed
-
     bad = checkpointed(find_overlaps(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__bad")).distinct())
     if bad.count() <= max_broadcast_ids:
         bad = F.broadcast(bad)
