@@ -17,7 +17,11 @@ from .common import require_columns
 
 #: Words whose counts a worker remembers; the oldest half goes beyond that.
 CACHE_WORDS = 400_000
+#: Words of at most so many bytes look up only the prefixes that are asked for; longer ones go from left to right.
+ASKED_BYTES = 256
 END = "</w>"
+UNMERGED = 1 << 60
+SOLID = regex.compile(r"\S+")
 
 
 class PrefixCounter:
@@ -54,11 +58,14 @@ class PrefixCounter:
         return self.byte_chars[char]
 
     def _merge(self, symbols: list[str]) -> list[str]:
+        rank_of = self.ranks.get
         while len(symbols) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 60:
+            ranks = [rank_of(p, UNMERGED) for p in zip(symbols, symbols[1:], strict=False)]
+            lowest = min(ranks)
+            if lowest == UNMERGED:
                 break
-            symbols = symbols[:at] + [symbols[at] + symbols[at + 1]] + symbols[at + 2 :]
+            at = ranks.index(lowest)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
     def _symbols(self, token: str) -> list[str]:
@@ -70,7 +77,7 @@ class PrefixCounter:
         fits = self.pairs[last, token] = self._merge(list(last) + self._symbols(token)) == [last, token]
         return fits
 
-    def _step(self, text: str, end: int, inner: list[tuple[str, int]], suffix: str) -> tuple[str, int]:
+    def _step(self, text: str, end: int, inner: list[tuple[str, int] | None], suffix: str) -> tuple[str, int]:
         vocab, pairs = self.vocab, self.pairs
         for start in range(max(0, end - self.longest), end):
             token = text[start:end] + suffix
@@ -80,7 +87,10 @@ class PrefixCounter:
                 if self._alone(token):
                     return token, 1
                 continue
-            last, count = inner[start]
+            before = inner[start]
+            if before is None:
+                before = inner[start] = self._step(text, start, inner, "")
+            last, count = before
             known = pairs.get((last, token))
             if known or known is None and self._follows(last, token):
                 return token, count + 1
@@ -102,13 +112,22 @@ class PrefixCounter:
         """Tokens of one pre-token."""
         known = self.totals.get(word)
         if known is None:
-            if len(self.totals) > CACHE_WORDS:
-                for old in list(self.totals)[: CACHE_WORDS // 2]:
-                    del self.totals[old]
-            text = "".join(map(self._bytes_of, word))
-            known = self.totals[word] = self._step(text, len(text), self._inner(text), END)[1]
+            # visible ASCII characters stand for their own bytes
+            text = word if word.isascii() and word.isprintable() else "".join(map(self._bytes_of, word))
+            inner = [None] * len(text) if len(text) <= ASKED_BYTES else self._inner(text)
+            known = self.totals[word] = self._step(text, len(text), inner, END)[1]
         return known
 
+    def words_total(self, words: list[str]) -> int:
+        """Tokens of pre-tokens, each distinct one looked at once."""
+        known = self.totals
+        if len(known) > CACHE_WORDS:
+            for old in list(known)[: len(known) - CACHE_WORDS // 2]:
+                del known[old]
+        for word in set(words).difference(known):
+            self.word_total(word)
+        return sum(map(known.__getitem__, words))
+
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of each non-empty prefix of one pre-token, by characters."""
         parts = [self._bytes_of(c) for c in word]
@@ -137,14 +156,7 @@ class PrefixCounter:
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
     def total(self, text: str) -> int:
-        count, known = 0, self.totals
-        for piece, special, _ in self.pieces(text):
-            if special:
-                count += 1
-                continue
-            for word in self.words_re.findall(self.normal(piece)):
-                count += known[word] if word in known else self.word_total(word)
-        return count
+        return sum(1 if special else self.words_total(self.words_re.findall(self.normal(piece))) for piece, special, _ in self.pieces(text))
 
     def cut(self, text: str, limit: int) -> int:
         """Characters of the longest prefix, ending at a word's or special token's end, with at most `limit` tokens."""
@@ -156,15 +168,12 @@ class PrefixCounter:
                     return best
                 best = at + len(piece)
                 continue
-            table = self._plain(piece)
-            for m in regex.finditer(r"\S+", piece):
-                if count + table[m.end()] > limit:
-                    break
+            # white space parts words and composed characters, so counts add up over what lies between
+            for m in SOLID.finditer(piece):
+                count += sum(map(self.word_total, self.words_re.findall(self.normal(m[0]))))
+                if count > limit:
+                    return best
                 best = at + m.end()
-            else:
-                count += table[-1]
-                continue
-            return best
         return len(text)
 
     def table(self, text: str) -> np.ndarray:
@@ -198,7 +207,7 @@ class PrefixCounter:
             return out
         # composed or expanded characters: white space parts what can change together
         count = end = 0
-        for m in regex.finditer(r"\S+", text):
+        for m in SOLID.finditer(text):
             out[end + 1 : m.start() + 1] = count
             for i in range(m.start() + 1, m.end() + 1):
                 out[i] = count + sum(map(self.word_total, self.words_re.findall(self.normal(text[m.start() : i]))))
