@@ -156,6 +156,53 @@ def test_line_dedup(spark, awkward):
     assert lines.dedup_lines(awkward.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_every_similar_pair(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(600)]
+    rows = []
+    for n in (4, 5, 6, 9, 10, 11, 14, 15, 20, 30, 47, 60):
+        for _ in range(6):
+            base = [rng.choice(vocabulary) for _ in range(n)]
+            if rng.random() < 0.3:
+                base = (base[:2] * n)[:n]
+            rows.append(base)
+            for _ in range(3):
+                w = list(base)
+                for _ in range(rng.randint(1, n // 5 + 1)):
+                    k = rng.randrange(len(w))
+                    w[k : k + rng.randint(0, 1)] = rng.choice(([], [rng.choice(vocabulary)], [rng.choice(vocabulary)]))
+                rows.append(w or base)
+    common = [rng.choice(vocabulary) for _ in range(8)]
+    rows += [common + [rng.choice(vocabulary) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    parent = {" ".join(w): " ".join(w) for w in rows}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    distinct = [x.split() for x in parent]
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            k = int(max(len(a), len(b)) * 0.2 + 1e-9)
+            if abs(len(a) - len(b)) <= k and distance(a, b) <= k:
+                parent[find(" ".join(a))] = find(" ".join(b))
+    first = {}
+    for i, w in enumerate(rows):
+        first.setdefault(find(" ".join(w)), i)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    kept = lambda every: {r["doc_id"] for r in lines.dedup_lines(frame, every_pair=every).where("text <> ''").collect()}
+    assert kept(True) == set(first.values()) < kept(False)
+
+
 def test_hamming_links(spark, monkeypatch):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(150)}
