@@ -364,6 +364,43 @@ def test_simhash(spark, docs, awkward):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_near_dedup_finds_every_similar_pair(spark):
+    import corpus_pipeline
+
+    rng, texts = random.Random(8), [None, "", " ", "One two", "one\ttwo", "one two three"]
+    passage = [f"p{i}" for i in range(14)]
+    for n in (30, 100, 300, 1000):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            base[5:19] = passage
+            for edits in (0, 1, max(1, n // 100), max(1, n // 60), n // 40 + 1, n // 20):
+                w = list(base)
+                for _ in range(edits):
+                    w[rng.randrange(n)] = f"w{rng.randrange(5000)}"
+                texts.append(" ".join(w))
+
+    def plain(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = [plain(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {find(i) for i in range(len(texts))}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()} == want
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(frame).collect()} - want
+
+
 def test_language_id(spark, awkward):
     big = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang")
