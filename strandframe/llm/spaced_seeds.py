@@ -2,14 +2,40 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, require_columns
 
-#: Which of eleven consecutive tokens count, a mask a row; the others may differ.
-MASKS = ("11011010111", "11101101011", "10110111011")
-SPAN = len(MASKS[0])
+#: As many masks as a window may need; MOST_SPAN is the longest window whose masks are found by enumeration.
+MOST_MASKS, MOST_SPAN = 5, 16
+
+
+@lru_cache(maxsize=None)
+def masks_for(n: int, wrong: int) -> tuple[tuple[int, ...], ...]:
+    """Masks, as the places they take, one of which fits somewhere in every window of `n` tokens of which `wrong` differ.
+
+    All take equally many places, as many as at most MOST_MASKS masks allow.
+    """
+    if n > MOST_SPAN:
+        # some run between the differing tokens is that long
+        return (tuple(range(-(-(n - wrong) // (wrong + 1)))),)
+    windows = [sum(1 << i for i in c) for c in combinations(range(n), wrong)]
+    for weight in range(n - wrong, 0, -1):
+        fits, left, chosen = {}, (1 << len(windows)) - 1, []
+        for mask in ((0, *rest) for rest in combinations(range(1, n), weight - 1)):
+            bits = sum(1 << i for i in mask)
+            fits[mask] = sum(1 << k for k, w in enumerate(windows) if any(not bits << o & w for o in range(n - mask[-1])))
+        while left and len(chosen) < MOST_MASKS:
+            chosen.append(max(fits, key=lambda m: (fits[m] & left).bit_count()))
+            left &= ~fits[chosen[-1]]
+        if not left:
+            return tuple(chosen)
+    raise ValueError("a window needs a token that agrees")
 
 
 def token_hashes(text: Column) -> Column:
@@ -17,10 +43,9 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, hashes: str, span: int) -> DataFrame:
-    """A row per position and mask, cut to `span` tokens, with `at` and the `seed` of the tokens that the mask takes."""
-    masks = [[i for i, bit in enumerate(m[:span]) if bit == "1"] for m in (MASKS if span == SPAN else MASKS[:1])]
-    places = F.size(hashes) - span + 1
+def _seeds(rows: DataFrame, hashes: str, span: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """A row per position and mask, with `at` and the `seed` of the tokens that the mask takes; `span` tells windows of other lengths apart."""
+    places = F.size(hashes) - min(m[-1] for m in masks)
     placed = rows.withColumn("__n", F.explode(F.when(places > 0, F.sequence(F.lit(0), places * len(masks) - 1))))
     placed = placed.withColumn("at", F.floor(F.col("__n") / len(masks)).cast("int")).withColumn("__m", F.col("__n") % len(masks))
 
@@ -30,6 +55,7 @@ def _seeds(rows: DataFrame, hashes: str, span: int) -> DataFrame:
             out = F.when(F.col("__m") == m, masks[m][i]).otherwise(out)
         return out
 
+    placed = placed.where(F.col("at") + offset(-1) < F.size(hashes))
     taken = [F.get(hashes, F.col("at") + offset(i)) for i in range(len(masks[0]))]
     return placed.withColumn("seed", F.xxhash64(F.col("__m") + 100 * span, *taken)).drop("__n", "__m")
 
@@ -48,12 +74,13 @@ def find_overlaps(
 ) -> DataFrame:
     """(doc_id, item_id, n_hits, matched_tokens, doc_token): documents that hold text of benchmark items.
 
-    Masks hash every position of items and documents, leaving out some tokens; equal hashes are hits. Around
+    Masks hash every position of items and documents, leaving out some tokens; equal hashes are hits. The masks
+    have a hit in every overlap that the check accepts. Around
     the hits of one alignment, up to `around` tokens each way, both are compared: the pair counts if some `least_tokens`
     consecutive places (all of a shorter item) agree in at least the share `similarity`. n_hits counts
     verified alignments, matched_tokens the most agreeing places of one, doc_token where the first starts.
 
-    Items of fewer tokens than a mask are seeded with the mask cut to their length; items without tokens,
+    Items of fewer than `least_tokens` tokens have masks of their own length; items without tokens,
     null texts and empty tables give no rows. Repeated rows of one doc_id or item_id count together; null ids
     match as a value of their own. The benchmark's seeds and the documents with hits are broadcast up to
     `max_broadcast` rows and joined by shuffling beyond, with equal results.
@@ -62,17 +89,18 @@ def find_overlaps(
     require_columns(benchmark, item_id, item_text)
     items = benchmark.select(F.col(item_id).alias("item_id"), F.filter(F.split(F.lower(F.coalesce(item_text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
     items = checkpointed(items.select("item_id", F.xxhash64("words").alias("item_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct())
-    # an item shorter than the masks has its own span; there are SPAN - 1 such lengths at most
-    short = [r[0] for r in items.where(F.size("item") < SPAN).select(F.size("item")).distinct().collect()]
+    # each item is seeded by the window that the check needs; there are `least_tokens` such lengths at most
+    spans = sorted(r[0] for r in items.select(F.least(F.lit(least_tokens), F.size("item"))).distinct().collect())
     source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     hashed = source.select("doc_id", "th", token_hashes(F.col("text")).alias("own"))
     hits = None
-    for span in (SPAN, *sorted(short)):
-        seeded = _seeds(items.where(F.size("item") >= SPAN if span == SPAN else F.size("item") == span), "item", span)
+    for span in spans or [least_tokens]:
+        masks = masks_for(span, span - ceil(span * similarity - 1e-9))
+        seeded = _seeds(items.where(F.size("item") >= span if span == least_tokens else F.size("item") == span), "item", span, masks)
         seeded = checkpointed(seeded.select("seed", "item_id", "item_key", F.col("at").alias("item_at")))
         if seeded.count() <= max_broadcast:
             seeded = F.broadcast(seeded)
-        met = _seeds(hashed, "own", span).select("doc_id", "th", "at", "seed").join(seeded, "seed")
+        met = _seeds(hashed, "own", span, masks).select("doc_id", "th", "at", "seed").join(seeded, "seed")
         hits = met if hits is None else hits.unionByName(met)
     spots = checkpointed(
         hits.groupBy("doc_id", "th", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"))
@@ -81,7 +109,7 @@ def find_overlaps(
     asked = spots.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("item_id", "item_key", "diagonal", "first", "last")).alias("spots"))
     asked = F.broadcast(asked) if spots.count() <= max_broadcast else asked
     again = source.join(asked, source.doc_id.eqNullSafe(asked["__id"]) & (source.th == asked["__th"])).select("doc_id", token_hashes(F.col("text")).alias("own"), "spots")
-    placed = again.select("doc_id", F.explode(F.transform("spots", lambda s: F.struct(*_beside(s, around)))).alias("s")).select("doc_id", "s.*")
+    placed = again.select("doc_id", F.explode(F.transform("spots", lambda s: F.struct(*_beside(s, around, least_tokens)))).alias("s")).select("doc_id", "s.*")
     both = placed.join(items, placed.item_key.eqNullSafe(items.item_key) & placed.item_id.eqNullSafe(items.item_id)).select(
         "doc_id", placed.item_id, "start", "part", F.slice("item", F.col("item_start") + 1, F.size("part")).alias("item_part"), F.least(F.lit(least_tokens), F.size("item")).alias("need")
     )
@@ -93,11 +121,11 @@ def find_overlaps(
     return good.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max(matched).cast("long").alias("matched_tokens"), F.min("start").cast("long").alias("doc_token"))
 
 
-def _beside(spot: Column, around: int) -> list[Column]:
+def _beside(spot: Column, around: int, longest: int) -> list[Column]:
     """The document's tokens from `around` before a diagonal's first hit to `around` after its last, inside both texts' fronts."""
     item_start = F.greatest(spot["first"] - around, F.lit(0), -spot["diagonal"])
     start = item_start + spot["diagonal"]
-    part = F.slice("own", start + 1, spot["last"] + SPAN + around - item_start)
+    part = F.slice("own", start + 1, spot["last"] + longest + around - item_start)
     return [spot["item_id"].alias("item_id"), spot["item_key"].alias("item_key"), item_start.alias("item_start"), start.alias("start"), part.alias("part")]
 
 

@@ -303,6 +303,24 @@ def test_decontamination(spark, docs, awkward, sf_dir):
     assert spaced_seeds.find_overlaps(hit.limit(0), short).count() == 0 and spaced_seeds.find_overlaps(hit, short.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_substitution(spark):
+    from itertools import combinations
+
+    items, rows, want = [], [], set()
+    for n in range(5, 21):
+        words = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        need = min(13, n)
+        for wrong in (1, 2, 3):
+            for places in combinations(range(n), wrong):
+                rows.append((len(rows), " ".join(["before", *("x" if k in places else w for k, w in enumerate(words)), "after"])))
+                if any(sum(k not in places for k in range(s, s + need)) >= -(-need * 8 // 10) for s in range(n - need + 1)):
+                    want.add((rows[-1][0], n))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spaced_seeds.find_overlaps(frame, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+
+
 def test_packing(spark, docs, awkward):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
