@@ -203,6 +203,17 @@ def test_line_dedup_finds_every_similar_pair(spark):
     assert kept(True) == set(first.values()) < kept(False)
 
 
+def test_line_dedup_of_repeated_rows(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    changed = ([*base[:k], f"new{k}", *base[k + 1 :]] for k in range(60))
+    near = next(w for w in changed if 0 < ((plain_print(w) ^ plain_print(base)) & ((1 << 64) - 1)).bit_count() <= 1)
+    for doc_id in (1, None):
+        frame = spark.createDataFrame([(doc_id, " ".join(base))] * 3 + [(7, " ".join(near))], "doc_id long, text string")
+        left = [r["doc_id"] for r in lines.dedup_lines(frame).where("text <> ''").collect()]
+        assert left == ([1] * 3 if doc_id else [7])
+
+
 def test_hamming_links(spark, monkeypatch):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(150)}
