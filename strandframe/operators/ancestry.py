@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions.alleles import complement, is_palindromic
 from ..schema import AUTOSOMES
 from .keys import LOCUS
@@ -117,17 +118,17 @@ def ld_prune(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2, max
     A site stays once no undecided or kept earlier site is linked to it; sites linked to a kept earlier one
     go. Rounds of joins decide all sites that can be decided at the same time, instead of one site after another.
     """
-    links = linked_pairs(dosages, window, r2).select("keep_id", "drop_id").persist()
-    undecided = dosages.select("variant_id").distinct()
+    links = checkpointed(linked_pairs(dosages, window, r2).select("keep_id", "drop_id"))
+    undecided = checkpointed(dosages.select("variant_id").distinct())
     kept = None
     for _ in range(max_rounds):
         open_links = links.join(undecided.withColumnRenamed("variant_id", "keep_id"), "keep_id", "left_semi")
-        free = undecided.join(open_links.select(F.col("drop_id").alias("variant_id")).distinct(), "variant_id", "left_anti")
-        gone = links.join(free.withColumnRenamed("variant_id", "keep_id"), "keep_id", "left_semi").select(F.col("drop_id").alias("variant_id")).distinct()
+        free = checkpointed(undecided.join(open_links.select(F.col("drop_id").alias("variant_id")).distinct(), "variant_id", "left_anti"))
+        gone = links.join(free.withColumnRenamed("variant_id", "keep_id"), "keep_id", "left_semi").select(F.col("drop_id").alias("variant_id"))
         kept = free if kept is None else kept.unionByName(free)
-        undecided = undecided.join(free, "variant_id", "left_anti").join(gone, "variant_id", "left_anti").persist()
+        undecided = checkpointed(undecided.join(free.unionByName(gone).distinct(), "variant_id", "left_anti"))
         if undecided.isEmpty():
-            return kept.distinct()
+            return kept
     raise RuntimeError("pruning did not settle")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 LOCUS = ["chrom", "pos_grch37"]
 
 
@@ -19,11 +21,12 @@ def resolve_merges(merges: DataFrame, unresolved: DataFrame, wanted: DataFrame,
     A frontier of the wanted rsids follows one merge a step by an equi-join, so work depends on the wanted
     ones and the longest chain, not on all merges.
     """
-    edges = merges.select("retired_rsid", "current_rsid").distinct()
+    # dealt by the retired rsid once; each step then moves only the frontier
+    edges = checkpointed(merges.select("retired_rsid", "current_rsid").distinct().repartition("retired_rsid"))
     live = wanted.select("rsid").distinct().select("rsid", F.col("rsid").alias("at"), F.array("rsid").alias("path"))
     done = None
     for _ in range(max_steps):
-        stepped = live.join(edges, live["at"] == edges["retired_rsid"], "left")
+        stepped = checkpointed(live.join(edges, live["at"] == edges["retired_rsid"], "left"))
         ended = stepped.where("current_rsid is null").select("rsid", "at", F.lit("current").alias("status"))
         looped = stepped.where(F.expr("array_contains(path, current_rsid)")).select("rsid", F.lit(None).cast("string").alias("at"), F.lit("cycle").alias("status"))
         part = ended.unionByName(looped)
@@ -45,8 +48,13 @@ def add_current_rsid(table: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def lookup_rsids(table: DataFrame, wanted: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Rows whose current rsid is the current one of a wanted rsid."""
-    aim = add_current_rsid(wanted.select("rsid"), resolved).select("current_rsid").where("current_rsid is not null").distinct()
+    """Rows whose current rsid is the current one of a wanted rsid.
+
+    A wanted rsid without a current one, be it in a cycle or unresolved, fails the query: it can't be answered.
+    Rows of the table with such an rsid only match nothing. Null wanted rsids ask for nothing.
+    """
+    asked = add_current_rsid(wanted.select("rsid").where("rsid is not null"), resolved)
+    aim = asked.select(F.coalesce("current_rsid", F.raise_error(F.concat(F.lit("no single current rsid for "), F.col("rsid"))).cast("string")).alias("current_rsid")).distinct()
     return add_current_rsid(table, resolved).join(aim, "current_rsid", "left_semi")
 
 

@@ -98,24 +98,44 @@ def absent_chromosomes(table: DataFrame) -> DataFrame:
     return labels.join(table.select("chrom").distinct(), "chrom", "left_anti").select("chrom")
 
 
-def qc_warnings(table: DataFrame) -> DataFrame:
-    """Warnings with their precedence; a warning never removes a row."""
-    c = infer_sex(sample_counts(table))
-    ploid = resolve_ploidy(table, c).agg(F.count_if(F.col("call_status") == "het_haploid").alias("het_haploid"))
-    low = call_rates(table).where((F.col("n_rows") >= LEAST_CHROM_LOCI) & (F.col("call_rate") < LEAST_CALL_RATE)).agg(F.count("*").alias("low_chroms"))
-    absent = absent_chromosomes(table).agg(F.count("*").alias("absent"))
-    # four frames of one row each
-    row = c.crossJoin(ploid).crossJoin(low).crossJoin(duplicate_summary(table)).crossJoin(absent)
-    het = rate(F.col("autosomal_het"), F.col("autosomal_loci"))
+def qc_warnings(table: DataFrame, anchors: DataFrame, chroms: tuple[str, ...] = CHROMS) -> DataFrame:
+    """Warnings with their precedence; a warning never removes a row.
+
+    `chroms` are those that the export's layout can name. One pass counts per chromosome; an uncalled Y of a
+    female sample is no low call rate. Heterozygous calls at single-copy loci count without indels.
+    """
+    per_chrom = table.groupBy("chrom").agg(F.count("*").alias("n_rows"), F.count_if(_called()).alias("n_called"), F.count_if(_snp()).alias("n_snp"), F.count_if(_snp() & _het()).alias("n_het"))
+
+    def total(column: str, *chosen: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("chrom").isin(*chosen), F.col(column)) if chosen else F.col(column)), F.lit(0))
+
+    counts = per_chrom.agg(
+        total("n_rows").alias("n_rows"),
+        total("n_called").alias("n_called"),
+        total("n_snp", *AUTOSOMES).alias("autosomal_loci"),
+        total("n_het", *AUTOSOMES).alias("autosomal_het"),
+        total("n_snp", "X").alias("x_loci"),
+        total("n_het", "X").alias("x_het"),
+        total("n_rows", "Y").alias("y_rows"),
+        total("n_called", "Y").alias("y_called"),
+        # a row per chromosome
+        F.collect_list(F.struct("chrom", "n_rows", "n_called", "n_het")).alias("chroms"),
+    )
+    # three frames of one row each
+    row = infer_sex(counts).crossJoin(duplicate_summary(table)).crossJoin(build_check(table, anchors).select("verdict"))
+    het, female = rate(F.col("autosomal_het"), F.col("autosomal_loci")), F.col("sex") == "female"
+    low = F.filter("chroms", lambda c: (c["n_rows"] >= LEAST_CHROM_LOCI) & (rate(c["n_called"], c["n_rows"]) < LEAST_CALL_RATE) & ~((c["chrom"] == "Y") & female))
+    single = F.filter("chroms", lambda c: (c["n_het"] > 0) & ((c["chrom"] == "MT") | ((F.col("sex") == "male") & c["chrom"].isin("X", "Y"))))
     rules = [
+        (1, "suspected_38", F.col("verdict") == "suspected_38"),
         (2, "ambiguous_sex", F.col("sex") == "ambiguous"),
         (3, "low_call_rate", rate(F.col("n_called"), F.col("n_rows")) < LEAST_CALL_RATE),
-        (4, "low_chrom_call_rate", F.col("low_chroms") > 0),
-        (5, "heterozygosity", ~het.between(*HET_BAND)),
-        (6, "het_haploid", F.col("het_haploid") > 0),
-        (7, "female_y", (F.col("sex") == "female") & (F.col("y_rate") > Y_FEMALE)),
+        (4, "low_chrom_call_rate", F.size(low) > 0),
+        (5, "heterozygosity", (F.col("autosomal_loci") > 0) & ~het.between(*HET_BAND)),
+        (6, "het_haploid", F.size(single) > 0),
+        (7, "female_y", female & (F.col("y_rate") > Y_FEMALE)),
         (8, "duplicate_positions", F.col("extra_locus_rows") > 0),
-        (9, "absent_chromosomes", F.col("absent") > 0),
+        (9, "absent_chromosomes", F.size(F.array_except(F.array(*[F.lit(c) for c in chroms]), F.col("chroms.chrom"))) > 0),
     ]
     found = row.select(F.explode(F.array(*[F.struct(F.lit(p).alias("precedence"), F.lit(n).alias("warning"), r.alias("raised")) for p, n, r in rules])).alias("w"))
     return found.where("w.raised").select("w.precedence", "w.warning")

@@ -148,7 +148,7 @@ def absent_chromosomes(spark, sf_dir):
 
 @query
 def qc_warnings(spark, sf_dir):
-    return qc.qc_warnings(_table(spark, sf_dir))
+    return qc.qc_warnings(_table(spark, sf_dir), derived.anchors(spark, sf_dir))
 
 
 @query
@@ -160,8 +160,10 @@ def locus_lookup_inner(spark, sf_dir):
 def rsid_lookup_semi(spark, sf_dir):
     merges, stuck = derived.merges(spark, sf_dir), derived.unresolved(spark, sf_dir)
     rows = derived.table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('rs', cast(o_custkey as string)) rsid")
-    wanted = merges.where("cast(substr(retired_rsid, 3) as bigint) % 10 = 3").select(F.col("retired_rsid").alias("rsid"))
-    resolved = keys.resolve_merges(merges, stuck, rows.select("rsid").unionByName(wanted))
+    retired = merges.select(F.col("retired_rsid").alias("rsid"))
+    resolved = keys.resolve_merges(merges, stuck, rows.select("rsid").unionByName(retired))
+    # asking for one without a current rsid would be refused
+    wanted = resolved.where("status = 'current'").join(retired, "rsid", "left_semi")
     return keys.lookup_rsids(rows, wanted, resolved).select("o_orderkey", "rsid", "current_rsid")
 
 
@@ -341,6 +343,18 @@ def privacy_scan(spark, sf_dir):
     return privacy.leak_counts(derived.table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+@query
+def privacy_shapes(spark, sf_dir):
+    return privacy.leak_counts(derived.genotype_notes(spark, sf_dir), "note", "shape").groupBy("shape").agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in privacy.PATTERNS])
+
+
+@query
+def privacy_spans(spark, sf_dir):
+    notes = derived.genotype_notes(spark, sf_dir)
+    found = notes.select("shape", F.explode(privacy.find("note")).alias("hit"))
+    return found.groupBy("shape", "hit.pattern").agg(F.count("*").alias("n_hits"), F.sum("hit.start").alias("sum_start"), F.sum("hit.end").alias("sum_end"))
+
+
 @query
 def array_markers(spark, sf_dir):
     markers = _table(spark, sf_dir).select("chrom", "pos_grch37", chrom_order().alias("chrom_order")).where("chrom_order < 22").distinct()

@@ -57,9 +57,9 @@ CARDS = """
 cards as (select p card_id, case when p % 11 = 0 then 'impossibility' else 'interpretation' end kind, 'rs' || cast(900000000 + p*8 + z % 5 as varchar) rsid,
    case code when 23 then 'X' when 24 then 'Y' when 25 then 'PAR' when 26 then 'MT' else cast(code as varchar) end chrom, 1 + (p*7919 + z*104729) % 16569 pos_grch37,
    least(x, y) low_allele, greatest(x, y) high_allele, 'lower' low_outcome, case when p % 5 = 0 then 'higher' else 'between' end mid_outcome, case when p % 13 = 0 then 'lower' else 'higher' end high_outcome,
-   ['practice_guideline','expert_panel','replicated_gwas','single_gwas','candidate_gene','anecdotal'][1 + p % 6] evidence,
-   ['meta_analysis','multiple_cohorts','single_cohort','none','conflicting'][1 + z % 5] replication,
-   ['ratio','proportion','variance_explained','beta'][1 + r % 4] effect_kind, (1 + r % 97) / 100.0::double effect_value,
+   ['clinical_guideline','expert_curated','functional','gwas','candidate_gene','anecdotal'][1 + p % 6] evidence,
+   ['meta_analysis','independent','same_cohort','none','conflicting'][1 + z % 5] replication,
+   ['odds_ratio','proportion','percent_variance_explained','beta'][1 + r % 4] effect_kind, (1 + r % 97) / 100.0::double effect_value,
    case when r % 3 = 0 then (r % 50) / 100.0::double end ci_low, case when r % 3 = 0 then (r % 50 + 40) / 100.0::double end ci_high,
    case when z % 4 = 0 then null when z % 4 = 1 then (r % 7) / 1000000.0::double else (r % 1000) / 2000.0::double end frequency,
    case when z % 3 = 0 then (r % 101) / 100.0::double end quality, case when z % 2 = 0 then (r % 89) / 100.0::double end ancestry_match,
@@ -83,17 +83,17 @@ matches as (select card_id, kind, case when kind = 'impossibility' then 'not_det
    when allele1 in ('I','D') or allele2 in ('I','D') then 'indel_excluded' when call_status = 'het_haploid' then 'het_haploid' when strand = 'mismatch' then 'allele_mismatch'
    when strand = 'ambiguous' and other <> found then 'strand_ambiguous' else 'matched' end status, strand, found, n_called from judged)"""
 SCORED = """,
-parts as (select *, 0.30 * case evidence when 'practice_guideline' then 1.0 when 'expert_panel' then 0.95 when 'replicated_gwas' then 0.9 when 'single_gwas' then 0.8 when 'candidate_gene' then 0.35 else 0.1 end::double
-   + 0.15::double * case effect_kind when 'ratio' then least(abs(ln(effect_value)) / ln(4.0::double), 1.0) when 'proportion' then effect_value when 'variance_explained' then least(effect_value / 5, 1.0)
+parts as (select *, 0.30 * case evidence when 'clinical_guideline' then 1.0 when 'expert_curated' then 0.95 when 'functional' then 0.9 when 'gwas' then 0.8 when 'candidate_gene' then 0.35 else 0.1 end::double
+   + 0.15::double * case effect_kind when 'odds_ratio' then least(abs(ln(effect_value)) / ln(4.0::double), 1.0) when 'proportion' then effect_value when 'percent_variance_explained' then least(effect_value / 5, 1.0)
        else case when effect_value = 0 then 0.0 when ci_low is null then 0.5 when ci_high > ci_low then least(abs(effect_value) / (ci_high - ci_low), 1.0) else 1.0 end end
-   + 0.20::double * case replication when 'meta_analysis' then 1.0 when 'multiple_cohorts' then 0.9 when 'single_cohort' then 0.35 when 'none' then 0.2 else 0.0 end::double
+   + 0.20::double * case replication when 'meta_analysis' then 1.0 when 'independent' then 0.9 when 'same_cohort' then 0.35 when 'none' then 0.2 else 0.0 end::double
    + 0.20::double * case when frequency is null then 0.5 when frequency < 1e-5 then 0 when frequency < 1e-4 then 0.15 when frequency < 1e-3 then 0.35 when frequency < 0.01 then 0.6 when frequency < 0.05 then 0.8 else 1 end::double
    + 0.10::double * coalesce(quality, 1.0) + 0.05::double * coalesce(ancestry_match, 0.5) total from cards where kind = 'interpretation'),
 tiered as (select *, case when score >= 0.85 then 0 when score >= 0.7 then 1 when score >= 0.5 then 2 else 3 end tier_rank from (select *, round(total, 4) score from parts)),
 scored as (select *, greatest(tier_rank, case when evidence = 'anecdotal' or replication = 'conflicting' then 3 when evidence = 'candidate_gene' then 2 else 0 end,
    case when frequency < 1e-5 or quality < 0.3 then 4 when quality < 0.6 then 3 when quality < 0.8 then 2 else 0 end,
    case when ancestry_match < 0.25 then 3 when ancestry_match < 0.5 then 2 when ancestry_match is null then 1 else 0 end, case when frequency is null then 2 else 0 end) final_rank,
-   ['very-strong','strong','moderate','limited','likely-artifact'] names from tiered)"""
+   ['well-established','strong','moderate','limited','likely-artifact'] names from tiered)"""
 ASSEMBLED = """,
 assembled as (select c.card_id, c.kind, c.title, c.section, m.status, case when m.status = 'matched' then m.found end outcome, case when m.status = 'matched' then s.score end score,
    case when m.status = 'matched' then s.names[s.final_rank + 1] end tier, m.status = 'matched' interpreted from cards c join matches m using (card_id) left join scored s using (card_id))"""
@@ -129,11 +129,29 @@ panel as (select k variant_id, cast(1 + k % 22 as varchar) chrom, 1 + (k*2377) %
    from (select s_suppkey k from supplier), range(1, 41) r(i)),
 sites as (select distinct variant_id, chrom, pos_grch37, ref, alt from panel),
 weights as (select k variant_id, (1 + k % 99) / 100.0::double frequency, component, ((k * component) % 41 - 20) / 20.0::double weight from (select s_suppkey k from supplier), (values (1), (2)) c(component))"""
+ANCHOR_HITS = """
+   a as (select rsid, case when pos % 10 = 0 then pos + 100000 else pos end a37, pos + case when pos % 10 = 0 then 0 else 5000 end a38
+     from (select rsid, min(cast(pos as bigint)) pos from raw where o % 40 = 0 and n = 1 group by 1)),
+   h as (select a.rsid, bool_or(pos_grch37 = a37) at37, bool_or(pos_grch37 = a38) at38 from a left join t using (rsid) group by 1),
+   hits as (select count(*) n_anchors, count(at37) n_found, count(*) filter (at37) n_37, count(*) filter (at38 and not at37) n_38 from h),
+   verdicts as (select *, case when n_37 >= 2 and n_37 > n_38 then 'confirmed_37' when n_38 >= 2 and n_38 > n_37 then 'suspected_38' else 'indeterminate' end verdict from hits)"""
+SEP = r"(?:[ \t]*[|│┆║┊][ \t]*|[ \t]+|(?:\\t)+|(?:\\s)+)"
+LEAKS = {
+    "ancestry_row": r"(?m)^\s*(?:rs|i)\d+[ \t]+(?:\d{1,2}|[XYM]|MT|PAR)[ \t]+\d+[ \t]+[ACGTID0][ \t]+[ACGTID0]\s*$",
+    "merged_row": r"(?m)^\s*(?:rs|i)\d+[ \t]+(?:\d{1,2}|[XYM]|MT|PAR)[ \t]+\d+[ \t]+(?:[ACGTID0]{1,2}|--)\s*$",
+    "escaped_row": rf"(?:rs|i)\d+{SEP}(?:\d{{1,2}}|[XYM]|MT|PAR){SEP}\d+{SEP}[ACGTID0](?:{SEP}[ACGTID0])?",
+    "inline_genotype": r"""\b(?:rs|i)\d+\b\s*[:=]\s*['"]?[ACGTID0]\s*[/|]?\s*[ACGTID0]\b""",
+    "keyed_fields": r"""(?s)\brsid\s*[=:]\s*['"]?(?:rs|i)\d+['"]?.{0,300}?\b(?:a|allele)1\s*[=:]\s*['"]?[ACGTID0]['"]?""",
+}
+NOTES = r""",
+notes as (select o % 8 shape, case o % 8 when 0 then rsid || chr(9) || chrom || chr(9) || pos || chr(9) || a1 || chr(9) || a2 when 1 then 'ü ' || chr(10) || rsid || ' ' || chrom || ' ' || pos || ' ' || a1 || a2
+   when 2 then 'row "' || rsid || '\t' || chrom || '\t' || pos || '\t' || a1 || '\t' || a2 || '"' when 3 then '| ' || rsid || ' | ' || chrom || ' | ' || pos || ' | ' || a1 || ' |' when 4 then 'my ' || rsid || ' = "' || a1 || '/' || a2 || '" call'
+   when 5 then 'Row(rsid=''' || rsid || ''', pos=' || pos || ', a1=''' || a1 || ''')' when 6 then 'see ' || rsid || ' at ' || pos else 'x' || rsid || ': ' || a1 || a2 end note from raw)"""
 R, RC, RP = f"with {RAW}", f"with {RAW}{COUNTS}", f"with {RAW}{COUNTS}{PROBES}"
 RM = f"{RP}, {CARDS.strip()}{MATCHES}"
 RA = f"{RM}{SCORED}{ASSEMBLED}"
 COLS = "rsid, chrom, pos_grch37, allele1, allele2, genotype, call_status"
-TIER_DIM = "(values (0,'very-strong'),(1,'strong'),(2,'moderate'),(3,'limited'),(4,'likely-artifact')"
+TIER_DIM = "(values (0,'well-established'),(1,'strong'),(2,'moderate'),(3,'limited'),(4,'likely-artifact')"
 
 SQL = {
     "normalize_genotypes": f"{R} select {COLS} from t",
@@ -160,22 +178,20 @@ SQL = {
     "indel_policy_matchable": f"""{R}, {CARDS.strip()} select chrom, count(*) n_matchable from t
    where not coalesce(allele1 in ('I','D') or allele2 in ('I','D'), false) or rsid in (select rsid from cards) group by chrom""",
     "duplicate_summary": f"{R} select count(*) - (select count(*) from (select distinct rsid from t)) extra_rsid_rows, count(*) - (select count(*) from (select distinct chrom, pos_grch37 from t)) extra_locus_rows from t",
-    "build_check": f"""{R}, a as (select rsid, case when pos % 10 = 0 then pos + 100000 else pos end a37, pos + case when pos % 10 = 0 then 0 else 5000 end a38
-     from (select rsid, min(cast(pos as bigint)) pos from raw where o % 40 = 0 and n = 1 group by 1)),
-   h as (select a.rsid, bool_or(pos_grch37 = a37) at37, bool_or(pos_grch37 = a38) at38 from a left join t using (rsid) group by 1),
-   c as (select count(*) n_anchors, count(at37) n_found, count(*) filter (at37) n_37, count(*) filter (at38 and not at37) n_38 from h)
-   select *, case when n_37 >= 2 and n_37 > n_38 then 'confirmed_37' when n_38 >= 2 and n_38 > n_37 then 'suspected_38' else 'indeterminate' end verdict from c""",
+    "build_check": f"{R}, {ANCHOR_HITS} select * from verdicts",
     "absent_chromosomes": f"{R} select chrom from {ORDER} where chrom not in (select chrom from t where chrom not in ('7','PAR','Y'))",
-    "qc_warnings": f"""{RC}, x as (select sexed.*, {rate('autosomal_het', 'autosomal_loci')} het, (select count(*) from ploid where call_status = 'het_haploid') hh,
-     (select count(*) from (select chrom from t group by 1 having count(*) >= 100 and round(count(*) filter (call_status <> 'no_call') * 1.0::double / count(*), 6) < 0.98)) low,
+    "qc_warnings": f"""{RC}, {ANCHOR_HITS}, x as (select sexed.*, {rate('autosomal_het', 'autosomal_loci')} het, (select verdict from verdicts) verdict,
+     (select count(*) from t where coalesce(allele1 <> allele2, false) and call_status <> 'no_call' and allele1 not in ('I','D') and allele2 not in ('I','D') and (chrom = 'MT' or (sex = 'male' and chrom in ('X','Y')))) hh,
+     (select count(*) from (select chrom from t group by 1 having count(*) >= 100 and round(count(*) filter (call_status <> 'no_call') * 1.0::double / count(*), 6) < 0.98) where not (chrom = 'Y' and sex = 'female')) low,
      (select count(*) - count(distinct (chrom, pos_grch37)) from t) dup, 26 - (select count(distinct chrom) from t) absent from sexed)
    select precedence, warning from (select unnest([
+     {{'precedence': 1, 'warning': 'suspected_38', 'on': verdict = 'suspected_38'}},
      {{'precedence': 2, 'warning': 'ambiguous_sex', 'on': sex = 'ambiguous'}}, {{'precedence': 3, 'warning': 'low_call_rate', 'on': round(n_called * 1.0::double / n_rows, 6) < 0.98}},
-     {{'precedence': 4, 'warning': 'low_chrom_call_rate', 'on': low > 0}}, {{'precedence': 5, 'warning': 'heterozygosity', 'on': not (het between 0.15 and 0.4)}},
+     {{'precedence': 4, 'warning': 'low_chrom_call_rate', 'on': low > 0}}, {{'precedence': 5, 'warning': 'heterozygosity', 'on': autosomal_loci > 0 and not (het between 0.15 and 0.4)}},
      {{'precedence': 6, 'warning': 'het_haploid', 'on': hh > 0}}, {{'precedence': 7, 'warning': 'female_y', 'on': sex = 'female' and y_rate > 0.15}},
      {{'precedence': 8, 'warning': 'duplicate_positions', 'on': dup > 0}}, {{'precedence': 9, 'warning': 'absent_chromosomes', 'on': absent > 0}}], recursive := true) from x) where "on" """,
     "locus_lookup_inner": f"{R}, {CARDS.strip()} select t.chrom, t.pos_grch37, t.rsid, t.genotype, t.call_status from t join cards c on t.chrom = c.chrom and t.pos_grch37 = c.pos_grch37",
-    "rsid_lookup_semi": f"""with recursive {MERGES.strip()}, wanted as (select retired_rsid rsid from merges where cast(substr(retired_rsid, 3) as bigint) % 10 = 3), both_r as (select rsid from orders_r union all select rsid from wanted){resolved('both_r')},
+    "rsid_lookup_semi": f"""with recursive {MERGES.strip()}, wanted as (select retired_rsid rsid from merges), both_r as (select rsid from orders_r union all select rsid from wanted){resolved('both_r')},
    cur as (select rsid, "current" current_rsid from resolved) select o_orderkey, rsid, current_rsid from orders_r join cur using (rsid) where current_rsid in (select current_rsid from wanted join cur using (rsid) where current_rsid is not null)""",
     "current_rsid": f"""with recursive {MERGES.strip()}{resolved('orders_r')} select o_orderkey, rsid, "current" current_rsid from orders_r join resolved using (rsid)""",
     "rsid_resolution_status": f"""with recursive {MERGES.strip()}, wanted as (select retired_rsid rsid from merges){resolved('wanted')} select rsid, "current", status from resolved""",
@@ -229,17 +245,11 @@ SQL = {
      where a.dosage is not null and b.dosage is not null group by 1, 2, 3),
    v as (select *, (n*xy - sx*sy)::double c, (n*xx - sx*sx)::double vx, (n*yy - sy*sy)::double vy from s)
    select chrom, keep_id, drop_id, round(c*c/(vx*vy), 6) r2 from v where vx > 0 and vy > 0 and round(c*c/(vx*vy), 6) > 0.02""",
-    "privacy_scan": r"""select doc_id, """
-    + ", ".join(
-        f"coalesce(len(regexp_extract_all(text, '{p}')), 0)::bigint n_{n}"
-        for n, p in (
-            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
-            ("phone", r"\+?[0-9][0-9 ()-]{7,}[0-9]"),
-            ("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
-            ("rsid_genotype", r"\brs[1-9][0-9]{2,}\s+[ACGTID0-]{1,2}\b"),
-            ("raw_row", r"\brs[1-9][0-9]+\t[0-9XYMT]+\t[0-9]+\t[ACGTID0-]"),
-        )
-    )
-    + " from documents",
+    "privacy_scan": "select doc_id, " + ", ".join(f"coalesce(len(regexp_extract_all(text, $r${p}$r$)), 0)::bigint n_{n}" for n, p in LEAKS.items()) + " from documents",
+    "privacy_shapes": f"{R}{NOTES} select shape, " + ", ".join(f"sum(len(regexp_extract_all(note, $r${p}$r$)))::bigint n_{n}" for n, p in LEAKS.items()) + " from notes group by 1",
+    "privacy_spans": f"{R}{NOTES}, found as ("
+    + " union all ".join(f"select shape, '{n}' pattern, note, unnest(regexp_extract_all(note, $r${p}$r$)) hit from notes" for n, p in LEAKS.items())
+    + """), placed as (select *, strpos(note, hit) - 1 as place from found)
+   select shape, pattern, count(*) n_hits, sum(place)::bigint sum_start, sum(place + length(hit))::bigint sum_end from placed group by 1, 2""",
     "array_markers": f"{R} select distinct t.chrom, pos_grch37, chrom_order from t join {ORDER} on t.chrom = d.chrom where chrom_order < 22",
 }

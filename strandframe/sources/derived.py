@@ -64,9 +64,9 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'lower' low_outcome",
         "case when p % 5 = 0 then 'higher' else 'between' end mid_outcome",
         "case when p % 13 = 0 then 'lower' else 'higher' end high_outcome",
-        "element_at(array('practice_guideline', 'expert_panel', 'replicated_gwas', 'single_gwas', 'candidate_gene', 'anecdotal'), cast(1 + p % 6 as int)) evidence",
-        "element_at(array('meta_analysis', 'multiple_cohorts', 'single_cohort', 'none', 'conflicting'), cast(1 + z % 5 as int)) replication",
-        "element_at(array('ratio', 'proportion', 'variance_explained', 'beta'), cast(1 + r % 4 as int)) effect_kind",
+        "element_at(array('clinical_guideline', 'expert_curated', 'functional', 'gwas', 'candidate_gene', 'anecdotal'), cast(1 + p % 6 as int)) evidence",
+        "element_at(array('meta_analysis', 'independent', 'same_cohort', 'none', 'conflicting'), cast(1 + z % 5 as int)) replication",
+        "element_at(array('odds_ratio', 'proportion', 'percent_variance_explained', 'beta'), cast(1 + r % 4 as int)) effect_kind",
         "(1 + r % 97) / 100.0D effect_value",
         "case when r % 3 = 0 then (r % 50) / 100.0D end ci_low",
         "case when r % 3 = 0 then (r % 50 + 40) / 100.0D end ci_high",
@@ -137,3 +137,14 @@ def panel_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(variant_id, frequency, component, weight): two components with small rational weights."""
     s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey k").withColumn("component", F.explode(F.array(F.lit(1), F.lit(2))))
     return s.selectExpr("k variant_id", "(1 + k % 99) / 100.0D frequency", "component", "((k * component) % 41 - 20) / 20.0D weight")
+
+
+def genotype_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(shape, note): raw rows written in eight ways, six of them with a genotype."""
+    return raw_export(spark, sf_dir).selectExpr(
+        "o % 8 shape",
+        r"""case o % 8 when 0 then concat(rsid, chr(9), chrom, chr(9), pos, chr(9), a1, chr(9), a2) when 1 then concat('ü ', chr(10), rsid, ' ', chrom, ' ', pos, ' ', a1, a2)
+        when 2 then concat('row "', rsid, chr(92), 't', chrom, chr(92), 't', pos, chr(92), 't', a1, chr(92), 't', a2, '"') when 3 then concat('| ', rsid, ' | ', chrom, ' | ', pos, ' | ', a1, ' |')
+        when 4 then concat('my ', rsid, ' = "', a1, '/', a2, '" call') when 5 then concat('Row(rsid=', chr(39), rsid, chr(39), ', pos=', pos, ', a1=', chr(39), a1, chr(39), ')')
+        when 6 then concat('see ', rsid, ' at ', pos) else concat('x', rsid, ': ', a1, a2) end note""",
+    )

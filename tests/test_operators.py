@@ -59,7 +59,7 @@ def test_probes_conflict_only_when_strands_disagree(spark):
 
 
 def test_rare_frequency_is_likely_artifact(spark):
-    row = spark.createDataFrame([("expert_panel", "meta_analysis", "ratio", 4.0, None, None, 1e-6, None, 0.9)], "evidence string, replication string, effect_kind string, effect_value double, ci_low double, ci_high double, frequency double, quality double, ancestry_match double")
+    row = spark.createDataFrame([("expert_curated", "meta_analysis", "odds_ratio", 4.0, None, None, 1e-6, None, 0.9)], "evidence string, replication string, effect_kind string, effect_value double, ci_low double, ci_high double, frequency double, quality double, ancestry_match double")
     assert confidence.with_confidence(row).first()["final_tier"] == "likely-artifact"
 
 
