@@ -3,30 +3,27 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from functools import reduce
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared checkpoint folder and cut its lineage there.
 
-    The folder is the session's ``spark.checkpoint.dir``. A local session without that setting gets a
-    temporary folder; a cluster without it is refused, as executors don't share local disks.
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` once as a table in the shared checkpoint folder and read it from there; for frames of the operators' own columns.
+
+    Smaller than a checkpoint, and its size is known to the planner.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="strandframe-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    if spark.sparkContext.getCheckpointDir() is None:
+        checkpointed(spark.range(0))
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def require_columns(df: DataFrame, *names: str) -> None:
@@ -53,7 +50,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     Returns (node, component) for nodes with at least one link to another node; self links and null ends
     are ignored.
     """
-    current = checkpointed(
+    current = stored(
         edges.where(F.col(left).isNotNull() & F.col(right).isNotNull() & (F.col(left) != F.col(right)))
         .select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
         .distinct()
@@ -73,7 +70,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
             .where("u <> v")
             .distinct()
         )
-        current = checkpointed(small)
+        current = stored(small)
         now = _state(current)
         if now == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -196,15 +196,18 @@ def fit(x: np.ndarray, y: np.ndarray, max_bins: int = 32, rounds: int = 150, pai
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", learn: Column | None = None, max_rows: int = 12_000) -> AdditiveModel:
     """Fit on at most about `max_rows` labelled rows, chosen by a hash of the id among all of them.
 
-    Labels are averaged per doc_id; null ids and labels teach nothing. `learn` may exclude rows by id.
+    Labels are averaged per doc_id; null ids and labels teach nothing. `learn` may exclude rows by id. Of rows that
+    share a doc_id one teaches. At most 2 * max_rows rows reach the driver.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))))
     known = known.groupBy(F.col(doc_id).alias("__id")).agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("int").alias("y"))
     share = max(1, -(-known.count() // max_rows))
-    chosen = known.where(F.pmod(F.xxhash64("__id"), F.lit(share)) == 0).limit(2 * max_rows)
-    # at most 2 * max_rows short rows
+    order = F.xxhash64("__id")
+    chosen = known.where(F.pmod(order, F.lit(share)) == 0).orderBy(order, "__id").limit(2 * max_rows)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
-    measured = with_features(rows, "text").select("y", "features").toPandas()
+    # one short row per chosen id, however often the id repeats: the one of the smallest text hash
+    kept = with_features(rows, "text").select("__id", F.struct(F.xxhash64("text").alias("th"), "features", "y").alias("row")).groupBy("__id").agg(F.min("row").alias("row"))
+    measured = kept.select("row.y", "row.features").toPandas()
     x = np.array(measured["features"].to_list(), dtype=float).reshape(-1, len(FEATURES))
     return fit(x, measured["y"].to_numpy(float))
 

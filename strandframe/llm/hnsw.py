@@ -154,14 +154,19 @@ class FlatGraph:
         return self._beam(last, queries, self._entries(last, queries), min(width, self.sizes[last]), self.sizes[last])[0]
 
 
-def lift(vectors: np.ndarray, norm: float | None = None) -> np.ndarray:
-    """Single-precision points with one more component that makes all norms equal; queries get zero there."""
-    if norm is None:
-        squares = np.einsum("nd,nd->n", vectors, vectors)
-        last = np.sqrt(np.maximum(squares.max() - squares, 0))
-    else:
+def lift(vectors: np.ndarray, query: bool = False) -> np.ndarray:
+    """Single-precision points with one more component that makes all norms equal; queries get zero there.
+
+    Points are scaled by the largest component of all, queries each by its own, so any finite size is in range.
+    """
+    largest = np.abs(vectors).max(axis=1 if query else None, keepdims=True)
+    scaled = vectors / np.maximum(largest, np.finfo(np.float64).tiny)
+    if query:
         last = np.zeros(len(vectors))
-    return np.concatenate([vectors, last[:, None]], axis=1).astype(np.float32)
+    else:
+        squares = np.einsum("nd,nd->n", scaled, scaled)
+        last = np.sqrt(np.maximum(squares.max() - squares, 0))
+    return np.concatenate([scaled, last[:, None]], axis=1).astype(np.float32)
 
 
 def usable(vector: Column) -> Column:
@@ -170,20 +175,26 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & (F.size(vector) > 0) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-INDEX = "dim int, shard int, size int, vectors array<double>, level_sizes array<int>, neighbours array<int>, ids array<long>, id_counts array<int>"
+INDEX = "dim int, band int, shard int, size int, vectors array<double>, level_sizes array<int>, neighbours array<int>, ids array<long>, id_counts array<int>"
 
 
-def build_index(vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 4096, degree: int = 16) -> tuple[DataFrame, int]:
-    """(index, number of shards): a row per dimension and shard with its vectors and flat neighbour arrays.
+def build_index(
+    vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = 4096, most_shard_rows: int = 131_072, shards_wanted: int = 32, degree: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """(index, shards): a row per dimension and shard with its vectors and flat neighbour arrays, and their (dim, band, shard).
 
     Equal vectors are one point that carries the k + 1 smallest ids, as no result can hold more of them.
-    Shards hold about `shard_rows` points each, dealt by the vector's hash.
+    Points are dealt by the vector's hash to shards of at least about `shard_rows`, which grow with the table
+    up to `most_shard_rows`, what a task's memory holds, so that a query asks about `shards_wanted` shards until
+    then. Vectors of very different sizes are in shards apart (band), as single precision can't rank them together.
     """
     good = vectors.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     few = Window.partitionBy("v").orderBy("id")
     points = checkpointed(good.withColumn("r", F.dense_rank().over(few)).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")))
-    shards = max(1, -(-points.count() // shard_rows))
-    keyed = points.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    total = points.count()
+    shards = max(1, -(-total // min(most_shard_rows, max(shard_rows, -(-total // shards_wanted)))))
+    largest = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    keyed = points.withColumns({"dim": F.size("v"), "band": F.floor(F.log2(largest) / 32).cast("int"), "shard": F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")})
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.iloc[np.argsort([int(i[0]) for i in frame["ids"]], kind="stable")]
@@ -192,6 +203,7 @@ def build_index(vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: s
         return pd.DataFrame(
             {
                 "dim": [own.shape[1]],
+                "band": [int(frame["band"].iloc[0])],
                 "shard": [int(frame["shard"].iloc[0])],
                 "size": [len(own)],
                 "vectors": [own.ravel()],
@@ -202,7 +214,9 @@ def build_index(vectors: DataFrame, k: int, vec_id: str = "vec_id", embedding: s
             }
         )
 
-    return keyed.groupBy("dim", "shard").applyInPandas(build, INDEX), shards
+    # a row per shard
+    places = keyed.select("dim", "band", "shard").distinct()
+    return keyed.groupBy("dim", "band", "shard").applyInPandas(build, INDEX), places
 
 
 def _search(batches: Iterator[pd.DataFrame], k: int, width: int, degree: int) -> Iterator[pd.DataFrame]:
@@ -219,13 +233,13 @@ def _search(batches: Iterator[pd.DataFrame], k: int, width: int, degree: int) ->
             queries = np.asarray(row.query_vectors, dtype=np.float64).reshape(-1, row.dim)
             starts = np.concatenate([[0], np.cumsum(row.id_counts)])
             ids = np.asarray(row.ids, dtype=np.int64)
-            # the graph's single precision works on scaled queries; scores are taken from the originals
-            scaled = queries / np.maximum(np.abs(queries).max(axis=1, keepdims=True), 1e-300)
-            found = graph.search(lift(scaled, 0.0), max(width, k + 1))
+            # the graph works in single precision; scores are taken from the original vectors
+            found = graph.search(lift(queries, query=True), max(width, k + 1))
             out = []
             for q, (query_id, near) in enumerate(zip(row.query_ids, found, strict=True)):
                 near = near[near >= 0]
-                scores = np.einsum("nd,d->n", own[near], queries[q])
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.einsum("nd,d->n", own[near], queries[q])
                 every = [(-s, i) for s, p in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[starts[p] : starts[p + 1]].tolist() if i != query_id]
                 out += [(int(query_id), i, -s) for s, i in sorted(every)[:k]]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
@@ -238,6 +252,7 @@ def nearest(
     vec_id: str = "vec_id",
     embedding: str = "embedding",
     shard_rows: int = 4096,
+    most_shard_rows: int = 131_072,
     degree: int = 16,
     width: int = 96,
     block: int = 512,
@@ -247,11 +262,12 @@ def nearest(
     Returns query_id, rank (from 1), vec_id and score (in double precision from the original vectors), ties
     to the smaller vec_id. Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without id, take no part; only vectors of equal dimension meet. Repeated rows count once; an id with
-    several vectors is a candidate with each of them and a query with the smallest. Empty tables give no rows.
+    several vectors is a candidate with each of them and a query with the smallest. Components of any finite size
+    are in range; a product beyond the doubles is infinite. Empty tables give no rows.
     Queries travel in blocks of about `block`, once to each shard; a shard's answer is at most k rows each.
     """
     require_columns(vectors, vec_id, embedding)
-    index, shards = build_index(vectors, k, vec_id, embedding, shard_rows, degree)
+    index, places = build_index(vectors, k, vec_id, embedding, shard_rows, most_shard_rows, degree=degree)
     asked = queries.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
     blocks = max(1, -(-asked.count() // block))
@@ -259,9 +275,9 @@ def nearest(
         asked.withColumn("dim", F.size("v"))
         .groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
         .agg(F.collect_list(F.struct("id", "v")).alias("q"))
-        .select("dim", F.col("q.id").alias("query_ids"), F.flatten("q.v").alias("query_vectors"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+        .select("dim", F.col("q.id").alias("query_ids"), F.flatten("q.v").alias("query_vectors"))
     )
-    met = index.join(packed, ["dim", "shard"])
+    met = index.join(packed.join(F.broadcast(places), "dim"), ["dim", "band", "shard"])
     found = met.mapInPandas(lambda batches: _search(batches, k, width, degree), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,7 +1,12 @@
-"""Packing: length combinations that fill a window, repeat counts by non-negative least squares, greedy residuals."""
+"""Packing: length combinations that fill a window, repeat counts by non-negative least squares, greedy residuals.
+
+Two documents' rests that fill a window exactly stay whole; only what finds no such partner is cut, into a
+multiple of the grain and a tail, so that few lengths are left to combine.
+"""
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -9,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,7 +80,9 @@ def plan_windows(histogram: dict[int, int], window: int, grain: int, depth: int
     left = Counter({k: v for k, v in histogram.items() if v > 0})
     plan: list[tuple[tuple[int, ...], int]] = []
     coarse = sorted(x for x in left if x % grain == 0)
-    combos = combinations(coarse, window, depth) + [(x,) * (window // x) for x in left if x % grain]
+    # tails in pairs of one grain, so many that they fill a window, and by themselves
+    tails = [(grain - x, x) * (window // grain) for x in left if x < grain - x and grain - x in left]
+    combos = combinations(coarse, window, depth) + [tuple(sorted(t, reverse=True)) for t in tails] + [(x,) * (window // x) for x in left if x % grain]
     if combos:
         at = {x: i for i, x in enumerate(sorted(left))}
         a = np.zeros((len(at), len(combos)))
@@ -102,31 +110,84 @@ def plan_windows(histogram: dict[int, int], window: int, grain: int, depth: int
     return plan
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
-    """Which ranks of each length go where: rows of length, from_rank, to_rank, first_sequence, per_window, first_offset."""
+def slots(plan: list[tuple[tuple[int, ...], int]], sequence: int = 0) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """Which ranks of each length go where: (from_rank, to_rank, first_sequence, per_window, first_offset), by rank."""
     used: Counter = Counter()
-    rows, sequence = [], 0
+    rows: dict[int, list] = {}
     for combo, n in plan:
         offset = 0
         for x, k in sorted(Counter(combo).items(), reverse=True):
-            rows.append((x, used[x], used[x] + n * k, sequence, k, offset))
+            rows.setdefault(x, []).append((used[x], used[x] + n * k, sequence, k, offset))
             used[x] += n * k
             offset += x * k
         sequence += n
-    return pd.DataFrame(rows, columns=["length", "from_rank", "to_rank", "first_sequence", "per_window", "first_offset"], dtype="int64")
+    return rows
+
+
+PLACES = ["length", "part", "from_rank", "to_rank", "shift", "first_sequence", "per_window", "first_offset", "cut_start", "cut_length"]
+
+
+def places(histogram: dict[int, int], window: int, grain: int) -> pd.DataFrame:
+    """Where the pieces of each natural length go, by rank among them: whole (part 0), or cut to a head (1) and a tail (2).
+
+    A piece at `rank` is number rank - shift of its slot. There are a few rows per length and combination.
+    """
+    rows, sequence = [], 0
+    whole = {x: n for x, n in histogram.items() if x == window}
+    for x, n in whole.items():
+        rows.append((x, 0, 0, n, 0, sequence, 1, 0, 0, x))
+        sequence += n
+    for x in sorted(x for x in histogram if 2 * x <= window):
+        y = window - x
+        n = histogram[x] // 2 if x == y else min(histogram[x], histogram.get(y, 0))
+        if not n:
+            continue
+        if x == y:
+            rows.append((x, 0, 0, 2 * n, 0, sequence, 2, 0, 0, x))
+        else:
+            rows += [(x, 0, 0, n, 0, sequence, 1, 0, 0, x), (y, 0, 0, n, 0, sequence, 1, x, 0, y)]
+        whole[x], whole[y] = (n, n) if x != y else (2 * n, 2 * n)
+        sequence += n
+    # the others are cut; pieces of one length are numbered through all natural lengths
+    cut: dict[int, list[tuple[int, int, int, int, int]]] = {}
+    left: Counter = Counter()
+    for x in sorted(histogram):
+        first, n = whole.get(x, 0), histogram[x] - whole.get(x, 0)
+        head = x - x % grain
+        parts = [(0, 0, x)] if head in (0, x) else [(1, 0, head), (2, head, x - head)]
+        for part, start, length in parts if n else ():
+            cut.setdefault(length, []).append((x, part, start, first, left[length]))
+            left[length] += n
+    plan = slots(plan_windows(left, window, grain), sequence)
+    for length, holders in cut.items():
+        for x, part, start, first, base in holders:
+            last = base + histogram[x] - whole.get(x, 0)
+            for low, high, first_sequence, per_window, offset in plan[length]:
+                if low < last and high > base:
+                    # global number = rank - first + base
+                    rows.append((x, part, max(low, base) - base + first, min(high, last) - base + first, low - base + first, first_sequence, per_window, offset, start, length))
+    return pd.DataFrame(rows, columns=PLACES, dtype="int64")
 
 
 class ByteLevelTokenizer:
     """Ids as the tokenizers library gives them for a byte-level BPE .json, from the same vocabulary as merge ranks.
 
-    Texts beyond `long_text` characters go to the library itself, as the faster matcher can run out of stack.
+    Files that say anything else than plain byte-level BPE are refused, and some texts are compared with the
+    library's ids. Texts beyond `long_text` characters go to the library itself, as the faster matcher can run out of stack.
     """
 
+    probes = ("Don't stop: it's 3.14,  \n\n\ttabs \u00e9\u65e5\u672c \U0001f642 x" * 2, "", "a", "  ", "<|endoftext|>a")
+
     long_text = 1_000_000
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
+        spec = json.loads(self.library.to_str())
+        model, split = spec["model"], spec["pre_tokenizer"]
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        if not plain or spec["normalizer"] or spec["truncation"] or not split or (split["type"], split["add_prefix_space"], split["use_regex"]) != ("ByteLevel", False, True):
+            raise ValueError("not a plain byte-level BPE vocabulary")
         special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = {level.pre_tokenize_str(chr(c))[0][0]: c for c in range(128)}
@@ -137,6 +198,9 @@ class ByteLevelTokenizer:
         chars |= dict(zip(sorted(set(level.alphabet()) - set(chars)), others, strict=True))
         ranks = {bytes(chars[x] for x in token): i for token, i in self.library.get_vocab(with_added_tokens=False).items() if token not in special}
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        for text in self.probes:
+            if self.ids(text).tolist() != self.library.encode(text, add_special_tokens=False).ids:
+                raise ValueError("the vocabulary's ids differ from the library's")
 
     def ids(self, text: str) -> np.ndarray:
         if len(text) > self.long_text:
@@ -153,34 +217,32 @@ def _tokenizer(path: str) -> ByteLevelTokenizer:
     return _TOKENIZERS[path]
 
 
-def cut_lengths(n: int, window: int, grain: int) -> list[int]:
-    """A document's pieces: full windows, the largest multiple of the grain in the rest, and what is left."""
-    rest = n % window
-    return [window] * (n // window) + [x for x in (rest - rest % grain, rest % grain) if x]
+CUT = ["start", "length", "ids_crc32", "head_crc32", "tail_crc32", "doc_tokens"]
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, doc_id: str, text: str, window: int, grain: int, end_id: int) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens), a row per piece of each document with its end id."""
+    """(doc_id, start, length, ids_crc32, doc_tokens, head_crc32, tail_crc32): full windows and the rest of each document with its end id.
+
+    The last two are for a rest cut at the last multiple of the grain.
+    """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            found = []
-            for own, text in zip(batch["doc_id"], batch["text"], strict=True):
+            at, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(tokenizer.ids(text or ""), np.array([end_id], dtype="<u4"))
-                start = 0
-                for n in cut_lengths(ids.size, window, grain):
-                    found.append((own, start, n, zlib.crc32(ids[start : start + n].tobytes()), ids.size))
-                    start += n
-            yield pd.DataFrame(
-                {
-                    "doc_id": pd.array([None if pd.isna(f[0]) else int(f[0]) for f in found], dtype="Int64"),
-                    **{c: np.array([f[i] for f in found], dtype=np.int64) for i, c in ((1, "start"), (2, "length"), (3, "ids_crc32"), (4, "doc_tokens"))},
-                }
-            )
+                for start in range(0, ids.size, window):
+                    piece = ids[start : start + window]
+                    head = piece.size - piece.size % grain
+                    at.append(i)
+                    found.append((start, piece.size, *(zlib.crc32(x.tobytes()) for x in (piece, piece[:head], piece[head:])), ids.size))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * 6
+            # ids stay as they are, nulls and 64 bits too
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), *columns], names=["doc_id", *CUT])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return source.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return source.mapInArrow(pieces, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {', '.join(f'{c} long' for c in CUT)}")
 
 
 def pack(
@@ -195,35 +257,33 @@ def pack(
 ) -> DataFrame:
     """Pack all documents into sequences of at most `window` tokens; one row per piece.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset. Null and empty texts are
-    documents of the end id alone; repeated rows are packed one by one; an empty table gives no rows. Only the
-    histogram of piece lengths (at most window / grain + grain lengths) reaches the driver. A piece's rank
-    among its length is its bucket's first rank plus its place in the bucket, so that a length shared by most
-    documents is ranked in many tasks.
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset; doc_id keeps its type and nulls.
+    Null and empty texts are documents of the end id alone; repeated rows are packed one by one, and which of
+    them goes where is as good as any; an empty table gives no rows. Only the histogram of natural lengths (at
+    most `window`) reaches the driver. A piece's rank among its length is its bucket's first rank plus its place in
+    the bucket, so that a length shared by most documents is ranked in many tasks.
     """
     require_columns(docs, doc_id, text)
     pieces = checkpointed(cut_documents(docs, vocabulary, doc_id, text, window, grain, end_id))
-    total = pieces.count()
-    buckets = max(8, -(-total // bucket_rows))
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(buckets)))
+    buckets = max(8, -(-pieces.count() // bucket_rows))
+    # numbered as they lie in the checkpoint, so that repeated rows spread over the buckets too
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
     sizes = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     lengths = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    placed = slots(plan_windows(lengths, window, grain))
-    spark = docs.sparkSession
-    where = spark.createDataFrame(placed, "length long, from_rank long, to_rank long, first_sequence long, per_window long, first_offset long")
+    where = docs.sparkSession.createDataFrame(places(lengths, window, grain), ", ".join(f"{c} long" for c in PLACES))
     # per length, buckets in order: sizes is a row per length and bucket, far fewer than pieces
     firsts = sizes.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = keyed.withColumn("place", F.row_number().over(order) - 1).join(firsts, ["length", "bucket"]).withColumn("rank", F.col("first") + F.col("place"))
-    # the slot table has a few rows per length and combination, whatever the number of documents
+    # the places have a few rows per length and combination, whatever the number of documents
     joined = ranked.join(F.broadcast(where), "length").where("rank >= from_rank and rank < to_rank")
-    within = F.col("rank") - F.col("from_rank")
+    within = F.col("rank") - F.col("shift")
     return joined.select(
         "doc_id",
-        "start",
-        "length",
-        "ids_crc32",
+        (F.col("start") + F.col("cut_start")).alias("start"),
+        F.col("cut_length").alias("length"),
+        F.when(F.col("part") == 1, F.col("head_crc32")).when(F.col("part") == 2, F.col("tail_crc32")).otherwise(F.col("ids_crc32")).alias("ids_crc32"),
         "doc_tokens",
-        (F.col("first_sequence") + F.expr("(rank - from_rank) div per_window")).alias("sequence_id"),
-        (F.col("first_offset") + within % F.col("per_window") * F.col("length")).alias("offset"),
+        (F.col("first_sequence") + F.expr("(rank - shift) div per_window")).alias("sequence_id"),
+        (F.col("first_offset") + within % F.col("per_window") * F.col("cut_length")).alias("offset"),
     )

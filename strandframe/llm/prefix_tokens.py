@@ -15,8 +15,8 @@ from tokenizers import pre_tokenizers
 
 from .common import require_columns
 
-#: Words whose counts a worker remembers; the oldest half goes beyond that.
-CACHE_WORDS = 400_000
+#: Words of at most so many characters whose counts a worker remembers; the oldest half goes beyond that number.
+CACHE_WORDS, CACHE_CHARS = 400_000, 256
 #: Words of at most so many bytes look up only the prefixes that are asked for; longer ones go from left to right.
 ASKED_BYTES = 256
 END = "</w>"
@@ -120,13 +120,22 @@ class PrefixCounter:
 
     def words_total(self, words: list[str]) -> int:
         """Tokens of pre-tokens, each distinct one looked at once."""
+        return sum(self.word_counts(words))
+
+    def word_counts(self, words: list[str]) -> list[int]:
+        """Tokens of each pre-token, each distinct one looked at once."""
         known = self.totals
         if len(known) > CACHE_WORDS:
             for old in list(known)[: len(known) - CACHE_WORDS // 2]:
                 del known[old]
+        long = {}
         for word in set(words).difference(known):
-            self.word_total(word)
-        return sum(map(known.__getitem__, words))
+            if len(word) > CACHE_CHARS:
+                long[word] = self.word_total(word)
+                del known[word]
+            else:
+                self.word_total(word)
+        return [long[w] if w in long else known[w] for w in words] if long else list(map(known.__getitem__, words))
 
     def word_prefixes(self, word: str) -> list[int]:
         """Tokens of each non-empty prefix of one pre-token, by characters."""
@@ -155,26 +164,55 @@ class PrefixCounter:
         text = unicodedata.normalize("NFC", text)
         return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
 
-    def total(self, text: str) -> int:
-        return sum(1 if special else self.words_total(self.words_re.findall(self.normal(piece))) for piece, special, _ in self.pieces(text))
+    def units(self, text: str) -> tuple[np.ndarray, np.ndarray, list]:
+        """(ends, tokens, pieces) of a text, in one walk: where each of its units ends and the tokens up to there.
 
-    def cut(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix, ending at a word's or special token's end, with at most `limit` tokens."""
-        count, best = 0, 0
+        A unit is a pre-token, a special token, or, where normalising changes lengths, a run without white
+        space: such runs can't change each other. pieces has (first unit, start, text, match of each unit) per stretch.
+        """
+        ends, counts, pieces = [], [], []
         for piece, special, at in self.pieces(text):
+            low = piece if special else self.normal(piece)
             if special:
-                count += 1
-                if count > limit:
-                    return best
-                best = at + len(piece)
-                continue
-            # white space parts words and composed characters, so counts add up over what lies between
-            for m in SOLID.finditer(piece):
-                count += sum(map(self.word_total, self.words_re.findall(self.normal(m[0]))))
-                if count > limit:
-                    return best
-                best = at + m.end()
-        return len(text)
+                pieces.append((len(ends), at, piece, None))
+                ends.append(at + len(piece))
+                counts.append(1)
+            elif len(low) == len(piece) and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
+                found = list(self.words_re.finditer(low))
+                pieces.append((len(ends), at, low, found))
+                ends += [at + m.end() for m in found]
+                counts += self.word_counts([m[0] for m in found])
+            else:
+                found = list(SOLID.finditer(piece))
+                pieces.append((len(ends), at, None, found))
+                ends += [at + m.end() for m in found]
+                counts += [self.words_total(self.words_re.findall(self.normal(m[0]))) for m in found]
+        return np.array(ends, dtype=np.int64), np.cumsum(np.array(counts, dtype=np.int64)), pieces
+
+    def count_and_cut(self, text: str, limit: int) -> tuple[int, int]:
+        """Tokens of a text, and the length of its longest prefix of at most `limit` tokens, from the counts at its prefixes."""
+        if len(text) * 4 <= limit:
+            # a byte has one token at most
+            return sum(1 if special else self.words_total(self.words_re.findall(self.normal(piece))) for piece, special, _ in self.pieces(text)), len(text)
+        ends, upto, pieces = self.units(text)
+        total = int(upto[-1]) if upto.size else 0
+        if total <= limit:
+            return total, len(text)
+        unit = int(np.searchsorted(upto, limit, side="right"))
+        base = int(upto[unit - 1]) if unit else 0
+        first, at, low, found = next(p for p in reversed(pieces) if p[0] <= unit)
+        # white space before the unit has no tokens
+        m = found[unit - first] if found else None
+        best = at + m.start() if m else at
+        if m is None or base == limit:
+            return total, best
+        if low is not None:
+            prefixes = self._within(low, m)
+        else:
+            # a token is never longer than the longest, so prefixes beyond that many characters are over the limit
+            longest = min(len(m[0]), (limit - base) * self.longest + 1)
+            prefixes = [self.words_total(self.words_re.findall(self.normal(m[0][:i]))) for i in range(1, longest + 1)]
+        return total, best + max((i for i, n in enumerate(prefixes, 1) if base + n <= limit), default=0)
 
     def table(self, text: str) -> np.ndarray:
         """Tokens of text[:i] for every i from 0 to its length."""
@@ -236,7 +274,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     """Add n_bytes, n_tokens, over_limit and cut_chars to every row; columns of these names are replaced.
 
     `vocabulary` is the tokenizer file's path on every worker. cut_chars is the length of the longest prefix
-    that ends at a word and has at most `limit` tokens, or the whole length. Null texts count as empty: 0
+    of at most `limit` tokens: one walk stores the count at every word's end, and inside the word that
+    crosses the limit at every character. Null texts count as empty: 0
     bytes, 0 tokens. Whole texts are counted, repeated rows one by one.
     """
     require_columns(docs, text)
@@ -245,9 +284,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", limit: in
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         dp = counter(vocabulary)
         for texts in batches:
-            totals = [dp.total(t) if t else 0 for t in texts]
-            cuts = [len(t or "") if n <= limit else dp.cut(t, limit) for t, n in zip(texts, totals, strict=True)]
-            yield pd.DataFrame({"n_tokens": totals, "cut_chars": cuts}, dtype="int64")
+            both = [dp.count_and_cut(t, limit) if t else (0, 0) for t in texts]
+            yield pd.DataFrame(both, columns=["n_tokens", "cut_chars"], dtype="int64")
 
     new = ("n_bytes", "n_tokens", "over_limit", "cut_chars")
     kept = [F.col(c) for c in docs.columns if c not in new]

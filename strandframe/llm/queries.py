@@ -23,25 +23,30 @@ URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allo
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with host, path, the longest rule that fits and its verdict. Null or odd urls have empty host and path and are allowed; repeated rows stay."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_trie.filter_urls(pages, [url_trie.UrlRule(*r) for r in URL_RULES]).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of each vector whose id is divisible by 20. Unusable vectors (null, zero, not finite) take no part; ties go to the smaller id."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with n_lines and n_dropped, its text without lines that occur before, equally or nearly. Null and empty texts stay; ids tie by text hash and position."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.dedup_lines(docs, counts=True, every_pair=True)
+    return lines.dedup_lines(docs, counts=True)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its base counts, their digest and all spans. A null text is empty; repeated rows are scanned one by one."""
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score, from a model that learns outside the held-out fold. Empty and null texts are scored too."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = gam.train(docs, table(spark, sf_dir, "labels"), learn=gam.learning_rows())
     scored = gam.score(docs, model)
@@ -49,18 +54,22 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and benchmark item that share text, over all documents. Null texts share none; repeated rows of an id count together."""
     return spaced_seeds.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 2048 tokens. Null and empty texts are a piece of the end id; null ids stay null."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and the smallest doc_id of its group. Null and empty texts share fingerprint zero; a null id is never the smallest."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its language, by models that learn outside the held-out fold. Null texts and texts without a letter are `und`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, learn=langid.learning_rows())
     judged = langid.identify(docs.select("doc_id", "text"), model)
@@ -68,6 +77,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its bytes, tokens and whether it passes 2048 tokens. A null text has none; repeated rows are counted one by one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return prefix_tokens.count_tokens(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
 

@@ -39,8 +39,8 @@ def masks_for(n: int, wrong: int) -> tuple[tuple[int, ...], ...]:
 
 
 def token_hashes(text: Column) -> Column:
-    """Hashes of the lower-cased runs of letters and digits; other characters at the ends leave an empty token there."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    """Hashes of the lower-cased runs of letters and digits; none for a null text."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
 def _seeds(rows: DataFrame, hashes: str, span: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
@@ -87,7 +87,7 @@ def find_overlaps(
     """
     require_columns(docs, doc_id, text)
     require_columns(benchmark, item_id, item_text)
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.filter(F.split(F.lower(F.coalesce(item_text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("words"))
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.regexp_extract_all(F.lower(F.coalesce(item_text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
     items = checkpointed(items.select("item_id", F.xxhash64("words").alias("item_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct())
     # each item is seeded by the window that the check needs; there are `least_tokens` such lengths at most
     spans = sorted(r[0] for r in items.select(F.least(F.lit(least_tokens), F.size("item"))).distinct().collect())
