@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from functools import reduce
 from pathlib import Path
 from uuid import uuid4
@@ -80,6 +81,72 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     raise RuntimeError("components did not settle")
 
 
+#: Further comparisons of each row with one row, before rows of different groups are compared with each other.
+STARS = 2
+
+
+def pair_ends(pairs: DataFrame) -> DataFrame:
+    """(h1): both ends of pairs (a, b)."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("h1"))
+
+
+def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFrame], DataFrame], bucket_rows: int, cut: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+    """(node, component): the groups that verified pairs of `members` (key, h1, fp, n, copies, lines) connect; all pairs of a bucket are possible.
+
+    Each row of a bucket is first compared with its most frequent one, then with the most frequent one that is
+    in another group than most, and only what is in different groups after that with each other: groups of near
+    copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b, b_n, b_fp) must pass before
+    `verified` reads more. Buckets of more than `bucket_rows` go through `cut` for it, which keys rows more finely.
+    """
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return stored(verified(stored(pairs.distinct())))
+
+    def star(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        c = centres.groupBy("key").agg(F.max(F.struct("copies", "h1", "fp", "n", "root")).alias("c")).select("key", *[F.col(f"c.{x}").alias(y) for x, y in (("h1", "b"), ("fp", "b_fp"), ("n", "b_n"), ("root", "b_root"))])
+        a = rows.select("key", F.col("h1").alias("a"), F.col("n").alias("a_n"), F.col("fp").alias("a_fp"), "root")
+        return a.join(c, "key").where("a <> b and root <> b_root").where(alike).select("a", "a_n", "b", "b_n")
+
+    alone = members.withColumn("root", F.col("h1"))
+    grouped = stored(connected_components(checked(star(alone, alone))))
+    rest = _mixed(members, grouped)
+    for _ in range(STARS):
+        links = checked(star(rest, rest.where("root <> main")))
+        if links.isEmpty():
+            break
+        grouped = _joined_groups(grouped, links)
+        rest = _mixed(members, grouped)
+    small, large = (rest, rest.limit(0)) if cut is None else (rest.where(F.col("lines") <= bucket_rows), rest.where(F.col("lines") > bucket_rows))
+    pairs = stored(_bucket_pairs(small.where("root <> main"), small, alike))
+    if cut is not None and not large.isEmpty():
+        pairs = pairs.unionByName(_bucket_pairs(*cut(large), alike))
+    more = checked(pairs)
+    return grouped if more.isEmpty() else _joined_groups(grouped, more)
+
+
+def _bucket_pairs(one: DataFrame, two: DataFrame, alike: Column) -> DataFrame:
+    """Pairs of rows of one bucket in different groups that pass `alike`."""
+    left, right = (rows.select("key", F.col("h1").alias(x), F.col("n").alias(f"{x}_n"), F.col("fp").alias(f"{x}_fp"), F.col("root").alias(f"{x}_root")) for rows, x in ((one, "a"), (two, "b")))
+    return left.join(right, "key").where("a_root <> b_root").where(alike).select("a", "a_n", "b", "b_n").distinct()
+
+
+def _mixed(members: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of buckets with rows in different groups, each with its group (root) and its bucket's largest one (main)."""
+    rooted = members.where("lines > 2").join(grouped, members.h1 == grouped.node, "left").select("key", "h1", "fp", "n", "copies", "lines", F.coalesce("component", "h1").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("k", "root")).alias("m"), F.count("*").alias("groups")).where("groups > 1").select("key", F.col("m.root").alias("main"))
+    return stored(rooted.join(main, "key"))
+
+
+def _joined_groups(grouped: DataFrame, more: DataFrame) -> DataFrame:
+    """`grouped` after further links, which are few and join whole groups."""
+    root = {x: grouped.select(F.col("node").alias(x), F.col("component").alias(f"{x}_root")) for x in "ab"}
+    joins = more.join(root["a"], "a", "left").join(root["b"], "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    over = connected_components(joins)
+    moved = grouped.join(over.select(F.col("node").alias("component"), F.col("component").alias("lower")), "component", "left").select("node", F.coalesce("lower", "component").alias("component"))
+    return stored(moved.unionByName(over.join(grouped, "node", "left_anti")))
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, require_columns
+from .common import bucket_groups, checkpointed, connected_components, pair_ends, require_columns, stored
 
 #: A bucket of more candidate pairs than this is cut further by the bits that it does not share yet.
 BUCKET_PAIRS = 65_536
@@ -141,73 +141,72 @@ def shingles(text: Column, words: int) -> Column:
     return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
-def _similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, max_broadcast: int = 400_000) -> DataFrame:
-    """(fp, root) of prints (fp, th, n, rare): sets of shingles linked if they share at least `similarity` of their union; nothing is capped.
+def segment_variants(fp: str, segments: int) -> Column:
+    """Of each segment of a fingerprint its bits and what they are with one bit wiped, as keys: of two near segments one has the other's variant."""
+    keys = []
+    for n in range(segments):
+        start, width = n * 64 // segments, (n + 1) * 64 // segments - n * 64 // segments
+        value, place = F.expr(f"shiftrightunsigned({fp}, {start}) & {(1 << width) - 1}L"), F.lit(n << 40)
+        set_bits = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(width)]), _held(value))
+        keys.append(F.transform(F.concat(F.array(F.lit(0).cast("long")), set_bits), _wiped(value, place)))
+    return F.flatten(F.array(*keys))
 
-    Two such sets share one of the first n - similarity * n + 1 of their n shingles (`rare`), in one order for
-    all. Each set is compared with one of each bucket first, then all that are still in different groups.
+
+def _held(value: Column) -> Callable[[Column], Column]:
+    return lambda bit: value.bitwiseAND(bit) != 0
+
+
+def _wiped(value: Column, place: Column) -> Callable[[Column], Column]:
+    return lambda bit: F.struct(value.bitwiseXOR(bit).bitwiseOR(place).alias("key"), (bit == 0).alias("plain"))
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, segments: int = 3, apart: int = 16, max_broadcast: int = 400_000) -> DataFrame:
+    """(node, component): groups of texts, by hash, whose sets of shingles share at least `similarity` of their union.
+
+    Candidates have a segment of their fingerprints that differs in one bit at most, and `apart` bits in all at
+    most; each is checked by its sets. A segment of each is indexed with one bit wiped, or as it is.
     """
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("th").alias("th"), F.first("n").alias("n")))
-    rows = prints.select("fp", "n", F.explode("rare").alias("shingle")).repartition("shingle").select("shingle", "fp", "n").distinct()
-    met = checkpointed(rows.join(rows.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").drop("k").hint("shuffle_hash"), "shingle"))
-    near = F.expr(f"least(a_n, b_n) >= greatest(a_n, b_n) * {similarity} - 1e-9")
-    grouped = None
-
-    def joined(pairs: DataFrame) -> DataFrame:
-        asked = checkpointed(pairs.where(near).select("a", "b").distinct())
-        wanted = asked.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes, "fp").select("fp", "th")
-        wanted = F.broadcast(wanted) if asked.count() * 2 <= max_broadcast else wanted
-        sets = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th").dropDuplicates(["fp"])
-        sets = checkpointed(sets.select("fp", shingles(F.col("text"), words).alias("set")))
-        both = asked.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("b_set")), "b")
+    texts = prints.groupBy("th").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"))
+    rows = texts.select(F.col("th").alias("h1"), "fp", "copies", F.lit(0).alias("n"), F.explode(segment_variants("fp", segments)).alias("v")).select("h1", "fp", "copies", "n", "v.key", "v.plain")
+    several = stored(rows.groupBy("key").agg(F.count("*").alias("lines"), F.bool_or("plain").alias("any")).where("lines > 1 and any").drop("any"))
+    # a text follows its keys only where others have them
+    members = stored(rows.drop("plain").join(F.broadcast(several) if several.count() <= 4 * max_broadcast else several, "key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = stored(pair_ends(pairs).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted
+        sets = docs.select(F.xxhash64("text").alias("h1"), "text").join(wanted, "h1", "left_semi").dropDuplicates(["h1"]).select("h1", shingles(F.col("text"), words).alias("set"))
+        sets = stored(sets)
+        both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("h1").alias("b"), F.col("set").alias("b_set")), "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
-        links = both.where(common >= (F.size("a_set") + F.size("b_set") - common) * similarity - 1e-9).select("a", "b")
-        if grouped is not None:
-            links = links.unionByName(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return connected_components(links)
-
-    centres = met.groupBy("shingle").agg(F.min(F.struct("fp", "n")).alias("c"))
-    grouped = joined(met.join(centres, "shingle").where("fp <> c.fp").select(F.col("fp").alias("a"), F.col("n").alias("a_n"), F.col("c.fp").alias("b"), F.col("c.n").alias("b_n")))
-    rooted = checkpointed(met.join(grouped, met.fp == grouped.node, "left").select("shingle", "fp", "n", F.coalesce("component", "fp").alias("root")))
-    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
-    rooted = rooted.join(mixed, "shingle")
-    one, two = (rooted.select("shingle", F.col("fp").alias(x), F.col("n").alias(f"{x}_n"), F.col("root").alias(f"{x}_root")) for x in "ab")
-    grouped = joined(one.join(two, "shingle").where("a < b and a_root <> b_root").select("a", "a_n", "b", "b_n"))
-    return classes.join(grouped, classes.fp == grouped.node, "left").select("fp", F.coalesce("component", "fp").alias("root"))
-
-
-def _shingled(source: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, th, n, rare): the hash of a text's set of n shingles and the first of them, shingles common in a sample last."""
-    sets = source.select("doc_id", F.xxhash64("text").alias("th"), F.array_sort(shingles(F.col("text"), words)).alias("set"))
-    # the sample decides the order only, never what is found
-    common = source.where(F.xxhash64("text") % 16 == 0).select(F.explode(shingles(F.col("text"), words)).alias("x")).groupBy("x").count().where("count > 2")
-    hot = [r["x"] for r in common.orderBy(F.desc("count"), "x").limit(4000).collect()]
-    ordered = F.concat(F.filter("set", lambda x: ~x.isin(hot)), F.filter("set", lambda x: x.isin(hot))) if hot else F.col("set")
-    n = F.size("set")
-    rare = F.slice(ordered, F.lit(1), (n - F.ceil(n * F.lit(similarity) - 1e-9) + 1).cast("int"))
-    return sets.select("doc_id", F.xxhash64("set").alias("fp"), "th", n.alias("n"), rare.alias("rare"))
+        return both.where(common >= (F.size("a_set") + F.size("b_set") - common) * similarity - 1e-9).select("a", "b")
+
+    return bucket_groups(members, F.expr(f"bit_count(a_fp ^ b_fp) <= {apart}"), verified, BUCKET_PAIRS)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, words: int = 3, similarity: float | None = None) -> DataFrame:
     """Keep one document of each group of near-duplicates, with all its columns.
 
     Documents link if their fingerprints differ in at most `max_bits` bits or, with a `similarity`, if their sets
-    of shingles share at least that part of their union; every such pair is found then.
+    of shingles share at least that part of their union and similar_groups() finds them by their fingerprints, which
+    it does the more surely, the more alike they are.
 
     The kept row has the group's smallest doc_id (nulls last; then the smallest text hash); of fully repeated
     rows one stays.
     """
     require_columns(docs, doc_id, text)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # a null text counts as empty
+    prints = checkpointed(with_fingerprints(source, words=words).select("doc_id", "fp", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
     if similarity is None:
-        prints = checkpointed(with_fingerprints(source, words=words).select("doc_id", "fp", F.xxhash64("text").alias("th")))
-        groups = _groups(prints, max_bits).select("fp", "root")
+        grouped = _groups(prints, max_bits).select("fp", "root")
+        rooted = prints.join(grouped, "fp")
     else:
-        prints = checkpointed(_shingled(source, words, similarity))
-        groups = _similar_groups(source, prints, words, similarity)
+        grouped = similar_groups(source.withColumn("text", F.coalesce("text", F.lit(""))), prints, words, similarity)
+        rooted = prints.join(grouped, prints.th == grouped.node, "left").withColumn("root", F.coalesce("component", "th"))
     order = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "th")
-    winners = prints.join(groups, "fp").groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n")).select(F.col("w.doc_id").alias("__id"), F.col("w.th").alias("__th"), "n")
-    marked = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    winners = rooted.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n")).select(F.col("w.doc_id").alias("__id"), F.col("w.th").alias("__th"), "n")
+    marked = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     kept = marked.join(winners, marked[doc_id].eqNullSafe(winners["__id"]) & (marked["__hash"] == winners["__th"]), "left_semi")
     repeats = prints.groupBy("doc_id", "th").count().where("count > 1")
     if not repeats.isEmpty():
