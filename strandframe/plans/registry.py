@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, privacy
-from ..operators import ancestry, confidence, grid, keys, matching, normalize, qc, references
+from ..operators import ancestry, checks, confidence, grid, keys, matching, normalize, qc, references
 from ..schema import NUMERIC_CODES, chrom_order
 from ..sources import derived
 from .twins import SQL
@@ -343,6 +343,53 @@ def privacy_scan(spark, sf_dir):
     return privacy.leak_counts(derived.table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+@query
+def merge_artifact_overlap(spark, sf_dir):
+    both = derived.merges(spark, sf_dir).where("cast(substr(retired_rsid, 3) as bigint) % 7 = 0").select("retired_rsid", F.lit("ambiguous").alias("status"))
+    return checks.artifact_overlap(derived.merges(spark, sf_dir), derived.unresolved(spark, sf_dir).unionByName(both))
+
+
+@query
+def site_id_problems(spark, sf_dir):
+    sites = derived.table(spark, sf_dir, "supplier").selectExpr("case when s_suppkey % 11 = 0 then '.' when s_suppkey % 13 = 0 then '' when s_suppkey % 17 = 0 then null else concat('rs', cast(s_suppkey div 2 as string)) end variant_id")
+    return checks.id_problems(sites)
+
+
+@query
+def genotype_map_gaps(spark, sf_dir):
+    cards = derived.cards(spark, sf_dir)
+    return checks.genotype_gaps(derived.declared_genotypes(matching.genotype_pairs(cards)), cards)
+
+
+@query
+def outcome_gaps(spark, sf_dir):
+    cards = derived.cards(spark, sf_dir)
+    used = cards.select("card_id", F.explode(F.array("low_outcome", "mid_outcome", "high_outcome")).alias("outcome"))
+    known = cards.select("card_id", F.explode(F.expr("if(card_id % 9 = 0, array('lower', 'higher', 'none'), array('lower', 'between', 'higher'))")).alias("outcome"))
+    return checks.outcome_gaps(used, known)
+
+
+@query
+def orphan_observations(spark, sf_dir):
+    seen = derived.table(spark, sf_dir, "lineitem").selectExpr("l_partkey + l_linenumber * 10 card_id").distinct()
+    return checks.orphan_observations(seen, derived.cards(spark, sf_dir))
+
+
+@query
+def frequency_problems(spark, sf_dir):
+    return checks.frequency_problems(derived.damaged_frequencies(derived.cards(spark, sf_dir)))
+
+
+@query
+def marker_digest(spark, sf_dir):
+    return checks.marker_digest(_table(spark, sf_dir))
+
+
+@query
+def worst_chromosomes(spark, sf_dir):
+    return checks.worst_chromosomes(_table(spark, sf_dir), 0.99, 20)
+
+
 @query
 def privacy_shapes(spark, sf_dir):
     return privacy.leak_counts(derived.genotype_notes(spark, sf_dir), "note", "shape").groupBy("shape").agg(*[F.sum(f"n_{n}").alias(f"n_{n}") for n in privacy.PATTERNS])

@@ -245,6 +245,26 @@ SQL = {
      where a.dosage is not null and b.dosage is not null group by 1, 2, 3),
    v as (select *, (n*xy - sx*sy)::double c, (n*xx - sx*sx)::double vx, (n*yy - sy*sy)::double vy from s)
    select chrom, keep_id, drop_id, round(c*c/(vx*vy), 6) r2 from v where vx > 0 and vy > 0 and round(c*c/(vx*vy), 6) > 0.02""",
+    "merge_artifact_overlap": f"""with {MERGES.strip()} select retired_rsid from merges where cast(substr(retired_rsid, 3) as bigint) % 7 = 0 union select m.retired_rsid from merges m join stuck s using (retired_rsid)""",
+    "site_id_problems": """with i as (select case when k % 11 = 0 then '.' when k % 13 = 0 then '' when k % 17 = 0 then null else 'rs' || (k // 2) end id from (select s_suppkey k from supplier))
+   select count(*) filter (id is null or id in ('', '.')) n_blank, count(*) filter (id not in ('', '.')) - count(distinct id) filter (id not in ('', '.')) n_repeated from i""",
+    "genotype_map_gaps": f"""with {CARDS.strip()}, pairs as (select distinct card_id, unnest([low_allele || low_allele, low_allele || high_allele, high_allele || high_allele]) g from cards),
+   keys as (select card_id, g, 1 n from pairs where not (card_id % 17 = 0 and substr(g,1,1) <> substr(g,2,1)) union all select card_id, g, 1 from pairs where card_id % 19 = 0 and substr(g,1,1) <> substr(g,2,1)
+     union all select distinct card_id, 'QQ', 1 from pairs where card_id % 23 = 0),
+   n as (select card_id, g, sum(n) n from keys group by 1, 2)
+   select coalesce(n.card_id, p.card_id) card_id, coalesce(n.g, p.g) genotype, case when p.g is null then 'not_constructible' when n.g is null then 'no_outcome' else 'mapped_twice' end problem
+   from n full join pairs p on n.card_id = p.card_id and n.g = p.g where p.g is null or n.g is null or n.n > 1""",
+    "outcome_gaps": f"""with {CARDS.strip()}, used as (select distinct card_id, unnest([low_outcome, mid_outcome, high_outcome]) outcome from cards),
+   known as (select distinct card_id, unnest(case when card_id % 9 = 0 then ['lower','higher','none'] else ['lower','between','higher'] end) outcome from cards)
+   select card_id, outcome, 'undefined' problem from (select * from used except select * from known) union all select card_id, outcome, 'unused' from (select * from known except select * from used)""",
+    "orphan_observations": f"with {CARDS.strip()} select distinct l_partkey + l_linenumber * 10 card_id from lineitem where l_partkey + l_linenumber * 10 not in (select card_id from cards)",
+    "frequency_problems": f"""with {CARDS.strip()}, f as (select card_id, case when card_id % 11 = 0 then 'N' else low_allele end allele, case when card_id % 13 = 0 then 1.5 else frequency end::double f from cards where frequency is not null
+     union all select card_id, case when card_id % 7 = 0 then low_allele else high_allele end, case when card_id % 5 = 0 then frequency + 0.75 else 0.25 end::double from cards where frequency is not null)
+   select * from (select card_id, count(*) filter (allele not in ('A','C','G','T')) n_bad_alleles, count(*) filter (not (f between 0 and 1)) n_bad_frequencies, count(*) - count(distinct allele) n_repeated, sum(f) > 1 + 1e-12::double above_one from f group by 1)
+   where n_bad_alleles > 0 or n_bad_frequencies > 0 or n_repeated > 0 or above_one""",
+    "marker_digest": f"{R}, d as (select distinct chrom, pos_grch37 p from t) select chrom, count(*) n_markers, sha256(string_agg(chrom || ':' || p, chr(10) order by p) || chr(10)) digest from d group by 1",
+    "worst_chromosomes": f"""{R}, c as (select chrom, count(*) n_rows, {rate("count(*) filter (call_status <> 'no_call')", 'count(*)')} call_rate from t group by 1)
+   select chrom_order, chrom, call_rate, n_rows from c join {ORDER} using (chrom) where n_rows >= 20 and call_rate < 0.99 order by chrom_order limit 6""",
     "privacy_scan": "select doc_id, " + ", ".join(f"coalesce(len(regexp_extract_all(text, $r${p}$r$)), 0)::bigint n_{n}" for n, p in LEAKS.items()) + " from documents",
     "privacy_shapes": f"{R}{NOTES} select shape, " + ", ".join(f"sum(len(regexp_extract_all(note, $r${p}$r$)))::bigint n_{n}" for n, p in LEAKS.items()) + " from notes group by 1",
     "privacy_spans": f"{R}{NOTES}, found as ("

@@ -148,3 +148,21 @@ def genotype_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
         when 4 then concat('my ', rsid, ' = "', a1, '/', a2, '" call') when 5 then concat('Row(rsid=', chr(39), rsid, chr(39), ', pos=', pos, ', a1=', chr(39), a1, chr(39), ')')
         when 6 then concat('see ', rsid, ' at ', pos) else concat('x', rsid, ': ', a1, a2) end note""",
     )
+
+
+def declared_genotypes(pairs: DataFrame) -> DataFrame:
+    """(card_id, genotype) maps as packs write them: some lack a genotype, have one twice or one of other alleles."""
+    het = "substr(genotype, 1, 1) <> substr(genotype, 2, 1)"
+    kept = pairs.where(f"not (card_id % 17 = 0 and {het})").selectExpr("card_id", "concat(' ', lower(genotype)) genotype")
+    twice = pairs.where(f"card_id % 19 = 0 and {het}").selectExpr("card_id", "reverse(genotype) genotype")
+    other = pairs.where("card_id % 23 = 0").selectExpr("card_id", "'QQ' genotype").distinct()
+    return kept.unionByName(twice).unionByName(other)
+
+
+def damaged_frequencies(cards: DataFrame) -> DataFrame:
+    """(card_id, allele, frequency) of cards with a frequency; some alleles, numbers and totals are wrong."""
+    return cards.where("frequency is not null").selectExpr(
+        "card_id",
+        "inline(array(struct(case when card_id % 11 = 0 then 'N' else low_allele end as allele, case when card_id % 13 = 0 then 1.5D else frequency end as frequency),"
+        " struct(case when card_id % 7 = 0 then low_allele else high_allele end as allele, case when card_id % 5 = 0 then frequency + 0.75D else 0.25D end as frequency)))",
+    )
