@@ -96,6 +96,32 @@ def test_neighbours(spark):
     assert hnsw.nearest(frame.limit(0), frame.limit(0), 20).count() == 0
 
 
+def test_neighbours_of_any_size(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(8, 4))
+    base[[0, 3, 5]] *= [[1e150], [1e120], [1e-200]]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = hnsw.nearest(frame, frame.where("vec_id = 0"), 5).orderBy("rank").collect()
+    scores = base @ base[0]
+    assert [r["vec_id"] for r in got] == [i for i in sorted(range(8), key=lambda i: (-scores[i], i)) if i][:5] and [r["score"] for r in got] == pytest.approx([scores[r["vec_id"]] for r in got])
+
+
+def test_recall_on_the_table(spark):
+    where = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{where}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, base = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    got = {}
+    for r in queries.op2_nearest_neighbours(spark, where).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [i for i in ids if i % 20 == 0]
+    hits = 0
+    for q in asked:
+        scores = base @ base[ids == q][0]
+        order = np.lexsort((ids, -scores))
+        hits += len(got[q] & set(ids[order][ids[order] != q][:20].tolist()))
+    assert sorted(got) == sorted(asked) and hits / (20 * len(asked)) >= 0.9
+
+
 def test_hamming_links(spark, monkeypatch):
     rng = random.Random(4)
     prints = {rng.getrandbits(64) for _ in range(150)}
