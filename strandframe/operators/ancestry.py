@@ -15,6 +15,7 @@ from ..schema import AUTOSOMES
 from .keys import LOCUS
 
 LEAST_MAF, MOST_MISSING, LD_R2, LD_WINDOW = 0.05, 0.02, 0.2, 200_000
+LEAST_COVERAGE = 0.5
 
 
 def panel_site_qc(dosages: DataFrame, least_maf: float = LEAST_MAF, most_missing: float = MOST_MISSING) -> DataFrame:
@@ -83,6 +84,14 @@ def project(dosages: DataFrame, weights: DataFrame) -> DataFrame:
     return scored.select("sample_id", "component", F.round(F.col("total") / F.col("n_used"), 6).alias("score"), "n_used")
 
 
+def covered_projection(dosages: DataFrame, weights: DataFrame, least_coverage: float = LEAST_COVERAGE) -> DataFrame:
+    """project(), refused if some sample has called less than a share of the weighted markers."""
+    coverage = projection_coverage(dosages, weights).first()["coverage"] or 0.0
+    if coverage < least_coverage:
+        raise ValueError(f"a sample has called {coverage} of the markers, less than {least_coverage}")
+    return project(dosages, weights)
+
+
 def projection_coverage(dosages: DataFrame, weights: DataFrame) -> DataFrame:
     """The least share of weighted markers that a sample has called."""
     markers = weights.select("variant_id").distinct()
@@ -132,11 +141,12 @@ def ld_prune(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2, max
     raise RuntimeError("pruning did not settle")
 
 
-def reference_components(dosages: DataFrame, k: int = 2, max_samples: int = 5000) -> DataFrame:
+def reference_components(dosages: DataFrame, k: int = 2, max_samples: int = 5000, least_samples: int = 0, least_markers: int = 0) -> DataFrame:
     """(variant_id, frequency, component, weight): leading axes of standardized dosages, missing calls at the mean.
 
     Each task sums the products of its sites between samples; their sum, a matrix of at most `max_samples`
     squared, is all that the driver sees. Weights have length one, the largest of a component is positive.
+    Fewer samples than `least_samples` or varying markers than `least_markers` are refused (50 and 1,000 are usual).
     """
     called = dosages.where("dosage is not null")
     stats = called.groupBy("variant_id").agg((F.avg("dosage") / 2).alias("frequency")).where("frequency > 0 and frequency < 1")
@@ -144,6 +154,10 @@ def reference_components(dosages: DataFrame, k: int = 2, max_samples: int = 5000
     samples = [r[0] for r in dosages.select("sample_id").distinct().orderBy("sample_id").limit(max_samples + 1).collect()]
     if len(samples) > max_samples:
         raise ValueError(f"more than {max_samples} samples")
+    if len(samples) < least_samples:
+        raise ValueError(f"{len(samples)} samples, fewer than {least_samples}")
+    if least_markers and (markers := stats.count()) < least_markers:
+        raise ValueError(f"{markers} varying markers, fewer than {least_markers}")
     place, n = {s: i for i, s in enumerate(samples)}, len(samples)
     sites = z.groupBy("variant_id", "frequency").agg(F.collect_list("sample_id").alias("s"), F.collect_list("z").alias("z"))
 

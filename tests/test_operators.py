@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from strandframe.functions import privacy
 from strandframe.operators import ancestry, confidence, grid, keys, matching, normalize
 from strandframe.schema import LETTER_CODES, NUMERIC_CODES
 from strandframe.sources import bundles, exports, references
@@ -97,6 +98,39 @@ def test_components_are_eigenvectors(spark):
     assert abs(abs(np.dot([got[k] for k in sorted(got)], want)) - 1) < 1e-6
 
 
+def test_small_panels_and_poor_coverage_are_refused(spark):
+    frame = spark.createDataFrame([(v, s, (v + s) % 3) for v in range(4) for s in range(6)], "variant_id int, sample_id int, dosage int")
+    for limits in ({"least_samples": 50}, {"least_markers": 1000}):
+        with pytest.raises(ValueError, match="fewer than"):
+            ancestry.reference_components(frame, 1, **limits)
+    weights = spark.createDataFrame([(v, 0.5, 1, 1.0) for v in range(10)], "variant_id int, frequency double, component int, weight double")
+    with pytest.raises(ValueError, match="less than"):
+        ancestry.covered_projection(frame, weights)
+    assert ancestry.covered_projection(frame, weights, 0.4).count() == 6
+
+
+def test_impossible_effects_and_unresolved_rsids_are_refused(spark):
+    columns = "evidence string, replication string, effect_kind string, effect_value double, ci_low double, ci_high double, frequency double, quality double, ancestry_match double"
+    good = ("functional", "independent", "odds_ratio", 2.0, None, None, 0.1, None, None)
+    assert confidence.with_confidence(spark.createDataFrame([good], columns)).first()["score"] > 0
+    for place, bad in ((0, "rumour"), (3, -1.0), (3, float("nan")), (2, "share"), (6, 1.5)):
+        row = tuple(bad if i == place else x for i, x in enumerate(good))
+        with pytest.raises(Exception):  # noqa: B017
+            confidence.with_confidence(spark.createDataFrame([row], columns)).collect()
+    table = spark.createDataFrame([("rs1",), ("rs3",)], "rsid string")
+    resolved = spark.createDataFrame([("rs1", "rs3", "current"), ("rs2", None, "ambiguous")], "rsid string, current string, status string")
+    assert {r["rsid"] for r in keys.lookup_rsids(table, spark.createDataFrame([("rs1",)], "rsid string"), resolved).collect()} == {"rs1", "rs3"}
+    with pytest.raises(Exception, match="no single current rsid for rs2"):
+        keys.lookup_rsids(table, spark.createDataFrame([("rs2",)], "rsid string"), resolved).collect()
+
+
+def test_genotype_spans_in_notes(spark):
+    text = "é rs12\n rs7\t1\t55\tA\tG\n"
+    found = spark.createDataFrame([(text,), (None,)], "note string").select(privacy.find("note").alias("f")).collect()
+    # white space around a row belongs to the match
+    assert {(h["pattern"], h["start"]) for h in found[0]["f"]} == {("ancestry_row", 7), ("escaped_row", 8)} and found[1]["f"] == []
+
+
 def test_reference_readers(spark, tmp_path):
     vcf = write(tmp_path / "v.vcf", ["##x", "NC_000001.10\t10\trs5\tA\tC,G\t.\t.", "NT_1\t10\trs6\tA\tC\t.", "NC_012920.1\t7\trs7\tA\t.\t."])
     assert [tuple(r) for r in references.read_variant_vcf(spark, vcf).collect()] == [("rs5", "1", 10, "A", ["C", "G"])]
