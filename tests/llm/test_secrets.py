@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
-from math import erfc, exp, floor, log, log2, log10, sqrt
+from math import erfc, floor, log, log2, log10, sqrt
 
 import pytest
 from pyspark.sql import functions as F
