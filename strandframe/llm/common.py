@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 from uuid import uuid4
@@ -14,16 +15,34 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpointed
 
 
-def stored(df: DataFrame) -> DataFrame:
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that stored() writes meanwhile, but for those to keep; nothing lazy may still need them."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once as a table in the shared checkpoint folder and read it from there; for frames of the operators' own columns.
 
-    Smaller than a checkpoint, and its size is known to the planner.
+    Smaller than a checkpoint, and its size is known to the planner. It stays until the innermost
+    scratch_tables() ends, or with `keep` and outside of any for good.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         checkpointed(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
     df.write.parquet(path)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

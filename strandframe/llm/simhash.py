@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_groups, checkpointed, connected_components, pair_ends, require_columns, stored
+from .common import bucket_groups, checkpointed, connected_components, pair_ends, require_columns, scratch_tables, stored
 
 #: A bucket of more candidate pairs than this is cut further by the bits that it does not share yet.
 BUCKET_PAIRS = 65_536
@@ -115,7 +115,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     require_columns(docs, doc_id, text)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = checkpointed(with_fingerprints(source).select("doc_id", "fp"))
-    groups = _groups(prints, max_bits)
+    with scratch_tables(docs.sparkSession):
+        groups = stored(_groups(prints, max_bits), keep=True)
     return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least_id").alias("component_id"))
 
 
@@ -199,10 +200,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     # a null text counts as empty
     prints = checkpointed(with_fingerprints(source, words=words).select("doc_id", "fp", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
     if similarity is None:
-        grouped = _groups(prints, max_bits).select("fp", "root")
+        with scratch_tables(docs.sparkSession):
+            grouped = stored(_groups(prints, max_bits).select("fp", "root"), keep=True)
         rooted = prints.join(grouped, "fp")
     else:
-        grouped = similar_groups(source.withColumn("text", F.coalesce("text", F.lit(""))), prints, words, similarity)
+        with scratch_tables(docs.sparkSession):
+            grouped = stored(similar_groups(source.withColumn("text", F.coalesce("text", F.lit(""))), prints, words, similarity), keep=True)
         rooted = prints.join(grouped, prints.th == grouped.node, "left").withColumn("root", F.coalesce("component", "th"))
     order = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "th")
     winners = rooted.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n")).select(F.col("w.doc_id").alias("__id"), F.col("w.th").alias("__th"), "n")
