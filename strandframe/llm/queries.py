@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam, hnsw, langid, lines, packing, prefix_tokens, secret_scan, simhash, spaced_seeds, url_trie
+from . import exact, gam, hnsw, langid, lines, merkle, negatives, packing, prefix_tokens, secret_scan, simhash, spaced_seeds, url_trie
 from .common import crc_remainder, table
 
 
@@ -82,8 +82,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_tokens(docs, tokenizer_path("word_bpe_49k.json")).drop("text")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and what root its tampered leaf leads to. Null ids are first in their source and are not tampered with; repeated rows are leaves of their own."""
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each positive of each row whose vec_id is divisible by 100. Rows without a label or a usable vector take no part; ties go to the smaller id."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of identical texts, of which the largest doc_id stays. Null counts as empty; a null id stays only if no other does, and one of repeated rows."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_nearest_neighbours, op3_line_dedup, op4_secret_scan, op5_quality_classifier, op6_decontamination, op7_packing, op8_simhash_dedup, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_url_filter, op2_nearest_neighbours, op3_line_dedup, op4_secret_scan, op5_quality_classifier, op6_decontamination, op7_packing, op8_simhash_dedup, op9_language_id, op10_token_counts, op11_merkle_manifest, op12_hard_negatives, op13_exact_dedup)}
 
 
 OP1_SQL = r"""
@@ -102,5 +118,32 @@ from parsed p left join best b on p.host = b.host and p.path = b.path
 """
 
 
+OP12_SQL = r"""
+with usable as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) v
+  from embeddings where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id anchor_id, b.vec_id other_id, a.l = b.l same,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2]))::bigint score
+  from usable a, usable b where a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+positives as (
+  select anchor_id, other_id positive_id, score positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.positive_id, row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id)::int "rank",
+       s.other_id negative_id, p.positive_score, s.score negative_score
+from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+  and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id) <= 5
+"""
+
+OP13_SQL = """
+with hashed as (select doc_id, coalesce(text, '') body from documents),
+sized as (select *, max(doc_id) over (partition by body) keep_id, count(*) over (partition by body) group_size from hashed)
+select doc_id, keep_id, group_size, doc_id = keep_id kept, sha256(body) text_sha256 from sized
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1_SQL}
+    return {"op1_url_filter": OP1_SQL, "op12_hard_negatives": OP12_SQL, "op13_exact_dedup": OP13_SQL}
