@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import computed_once
 from ..schema import ALLELES, LENGTHS, NO_CALL, literal_map
 
 RAW = ("rsid", "chrom", "pos", "a1", "a2")
@@ -26,23 +27,26 @@ def split_genotype(raw: DataFrame, genotype: str = "genotype") -> DataFrame:
 
 
 def cleaned(raw: DataFrame, codes: dict[str, str]) -> DataFrame:
-    """Trimmed and typed columns beside the raw ones: c_rsid, c_chrom, c_pos, c_a1, c_a2."""
+    """Trimmed and typed columns beside the raw ones, each computed once: c_rsid, c_chrom, c_pos, c_a1, c_a2, and c_empty for a missing field."""
     pos = F.trim("pos")
-    return raw.withColumns(
+    return computed_once(
+        raw,
         {
             "c_rsid": F.trim("rsid"),
             "c_chrom": F.try_element_at(literal_map(codes), F.trim("chrom")),
             "c_pos": F.when(pos.rlike("^[0-9]+$"), F.expr("try_cast(trim(pos) as bigint)")),
             "c_a1": F.upper(F.trim("a1")),
             "c_a2": F.upper(F.trim("a2")),
-        }
+            "c_empty": F.col("rsid").isNull() | F.col("chrom").isNull() | F.col("pos").isNull() | F.col("a1").isNull() | F.col("a2").isNull(),
+        },
     )
 
 
-def _flags() -> dict[str, Column]:
+def first_failure() -> Column:
+    """The first check that a cleaned row fails; null for a sound row."""
     letters = [*ALLELES, NO_CALL]
-    return {
-        "empty_field": F.lit(False) | F.col("rsid").isNull() | F.col("chrom").isNull() | F.col("pos").isNull() | F.col("a1").isNull() | F.col("a2").isNull(),
+    failing = {
+        "empty_field": F.col("c_empty"),
         "unknown_chrom": F.col("c_chrom").isNull(),
         "bad_position": F.coalesce(F.col("c_pos") >= 2**32, F.lit(True)),
         "zero_position": F.col("c_pos") == 0,
@@ -50,14 +54,12 @@ def _flags() -> dict[str, Column]:
         "bad_allele": ~(F.col("c_a1").isin(letters) & F.col("c_a2").isin(letters)),
         "half_call": (F.col("c_a1") == NO_CALL) != (F.col("c_a2") == NO_CALL),
     }
+    return F.coalesce(*[F.when(failing[name], name) for name in CHECKS])
 
 
 def error_summary(raw: DataFrame, codes: dict[str, str], order: list[str]) -> DataFrame:
     """A row per check in order: how many rows fail it first, and the first one's rsid by `order`; one aggregate pass."""
-    first = F.lit(None).cast("string")
-    for name, flag in reversed(_flags().items()):
-        first = F.when(F.coalesce(flag, F.lit(False)), name).otherwise(first)
-    flagged = cleaned(raw, codes).withColumn("check", first).where("check is not null")
+    flagged = cleaned(raw, codes).withColumn("check", first_failure()).where("check is not null")
     counted = flagged.groupBy("check").agg(F.count("*").alias("n_rows"), F.min(F.struct(*order, "rsid")).alias("lowest"))
     names = raw.sparkSession.createDataFrame(list(enumerate(CHECKS)), "precedence int, check string")
     return names.join(counted, "check", "left").select("precedence", "check", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.col("lowest.rsid").alias("first_rsid"))
@@ -68,12 +70,9 @@ def normalize(raw: DataFrame, codes: dict[str, str], carry: tuple[str, ...] = ()
 
     Alleles are sorted; a no-call has null alleles and genotype, so every later predicate fails closed on it.
     """
-    bad = F.lit(False)
-    for flag in _flags().values():
-        bad = bad | F.coalesce(flag, F.lit(False))
     called = F.col("c_a1") != NO_CALL
     low, high = F.least("c_a1", "c_a2"), F.greatest("c_a1", "c_a2")
-    return cleaned(raw, codes).where(~bad).select(
+    return cleaned(raw, codes).where(first_failure().isNull()).select(
         F.col("c_rsid").alias("rsid"),
         F.col("c_chrom").alias("chrom"),
         F.col("c_pos").alias("pos_grch37"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import privacy
 from strandframe.operators import ancestry, confidence, grid, keys, matching, normalize
+from strandframe.plans import registry
 from strandframe.schema import LETTER_CODES, NUMERIC_CODES
 from strandframe.sources import bundles, exports, references
 from strandframe.streaming import ingest
@@ -160,3 +161,16 @@ def test_entry_without_training_operators(spark):
     import __spark_entry__ as entry
 
     assert {"call_rate_by_chrom", "card_match"} <= set(entry.queries()) and entry.entry(spark).count() == 26
+
+
+@pytest.mark.parametrize("name", ["normalize_genotypes", "normalize_damaged", "strand_orientation"])
+def test_generated_methods_stay_compiled(spark, sf_dir, name):
+    # an adaptive plan shows its stages only as they run
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package").codegenStringSeq(plan)
+    largest = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert largest and max(largest) < 8000  # the JVM interprets longer ones
