@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
@@ -15,17 +16,24 @@ from pyspark.sql import functions as F
 from ..checkpoints import checkpointed
 
 
-_SCRATCH: list[list[str]] = []
+class _Scratch(threading.local):
+    """The tables to delete, a list for each scratch_tables() that is open in this thread."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that stored() writes meanwhile, but for those to keep; nothing lazy may still need them."""
-    _SCRATCH.append([])
+    _SCRATCH.open.append([])
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _SCRATCH.open.pop():
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -34,15 +42,18 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once as a table in the shared checkpoint folder and read it from there; for frames of the operators' own columns.
 
     Smaller than a checkpoint, and its size is known to the planner. It stays until the innermost
-    scratch_tables() ends, or with `keep` and outside of any for good.
+    scratch_tables() ends, or with `keep` and outside of any until the driver does: results may read it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         checkpointed(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
     df.write.parquet(path)
-    if _SCRATCH and not keep:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.open and not keep:
+        _SCRATCH.open[-1].append(path)
+    else:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,10 +73,20 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
-def connected_components(edges: DataFrame, left: str = "a", right: str = "b", max_rounds: int = 60) -> DataFrame:
+#: A frame of a few longs a row is broadcast up to this many bytes and dealt by its key beyond.
+MOST_BROADCAST, ROW_BYTES = 64 << 20, 16
+
+
+def small(df: DataFrame, longs: int = 1, most: int = MOST_BROADCAST) -> DataFrame:
+    """`df`, a stored frame of `longs` longs a row, with a hint to broadcast it if it is small enough."""
+    return F.broadcast(df) if df.count() * longs * ROW_BYTES <= most else df
+
+
+def connected_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Label each node of an undirected graph with the smallest node it can reach.
 
-    Alternates large-star and small-star steps until the edges form stars. Each step is a map-side
+    Alternates large-star and small-star steps until the edges form stars, which they do after a number of steps
+    that grows with the logarithm of the nodes squared at most. Each step is a map-side
     combined minimum and an equi-join that adaptive execution may split, so a hub needs no single task.
     Returns (node, component) for nodes with at least one link to another node; self links and null ends
     are ignored.
@@ -78,7 +99,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
     seen = _state(current)
     if seen[0] == 0:
         return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
+    while True:
         both = current.select("u", "v").unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.where("v > u").join(lowest, "u").where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
@@ -97,13 +118,42 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ma
                 current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 #: Further comparisons of each row with one row, before rows of different groups are compared with each other.
 STARS = 2
 
 
+def shared_keys(rows: DataFrame, sketch: Column, picks: int, crowd: int, most: int = MOST_BROADCAST) -> DataFrame:
+    """(key, h1, n, copies): each h1 of `rows` (h1, n, ...) under those of its keys that another h1 has, too.
+
+    `sketch` is a row's features in rising order, of which it keys itself by the first `picks`. Two rows that share
+    a part J of the features of both thus miss each other with a chance of (1 - J) ** picks. Features that key
+    more than `crowd` rows come after all others in that order: rows that have one pick anew, so that what many
+    different rows have in common makes no large bucket unless a row has nothing else.
+    """
+    keyed = rows.select("h1", "n", sketch.alias("sketch"))
+    picked = keyed.select("h1", "n", F.explode(F.slice("sketch", 1, picks)).alias("key"))
+
+    def counted(picked: DataFrame) -> DataFrame:
+        return stored(picked.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"))
+
+    shared = counted(picked)
+    crowded = stored(shared.where(F.col("rows") > crowd).select("key"))
+    if not crowded.isEmpty():
+        crowded = small(crowded, most=most)
+        anew = stored(picked.join(crowded, "key", "left_semi").select("h1").distinct())
+        anew = small(anew, most=most)
+        each = keyed.join(anew, "h1", "left_semi").select("h1", "n", F.explode("sketch").alias("key")).distinct()
+        marked = each.join(crowded.withColumn("late", F.lit(True)), "key", "left")
+        best = marked.groupBy("h1", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "key"))), 1, picks).alias("first"))
+        again = stored(best.select("h1", "n", F.explode("first.key").alias("key")))
+        # a row that picked anew stands for all its copies
+        picked = keyed.join(anew, "h1", "left_anti").select("h1", "n", F.explode(F.slice("sketch", 1, picks)).alias("key")).unionByName(again)
+        shared = counted(picked)
+    return stored(picked.join(small(shared.select("key"), most=most), "key").groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
+
+
 def pair_ends(pairs: DataFrame) -> DataFrame:
     """(h1): both ends of pairs (a, b)."""
     return pairs.select(F.explode(F.array("a", "b")).alias("h1"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,31 +10,61 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_groups, checkpointed, connected_components, pair_ends, require_columns, scratch_tables, stored
+from .common import MOST_BROADCAST, bucket_groups, checkpointed, connected_components, pair_ends, require_columns, scratch_tables, shared_keys, small, stored
 
 #: A bucket of more candidate pairs than this is cut further by the bits that it does not share yet.
 BUCKET_PAIRS = 65_536
+#: A bucket of more texts that may be similar is cut by a second hash.
+BUCKET_TEXTS = 32
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42, window: int = 65_536) -> int:
-    """The 64-bit SimHash of a whole text: a bit is 1 if it is set in over half the shingle hashes.
+#: Near-duplicates by shingle sets meet under PICKS of their SKETCH smallest shingle hashes; hashes of more than CROWD texts come last.
+PICKS, SKETCH, CROWD = 4, 32, 256
+#: Similar sets' fingerprints differ in fewer bits than this, at a similarity of 0.8 in 10 on average.
+APART = 22
+
+
+def hashed_windows(text: str | None, words: int, seed: int, window: int = 65_536) -> Iterator[np.ndarray]:
+    """The shingle hashes of a whole text, in windows, so that memory does not follow its length.
 
     Only A-Z is lower-cased; words are runs without ASCII white space. Fewer words than a shingle make one
-    shingle; no words give zero. Hashes are summed in windows, so memory does not follow the text's length.
+    shingle; no words make none.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
-    n = max(1, len(tokens) - words + 1)
-    counts = np.zeros(64, dtype=np.int64)
+    n = max(1, len(tokens) - words + 1) if tokens else 0
     for start in range(0, n, window):
         part = tokens[start : min(start + window, n) + words - 1]
         grams = map(b" ".join, zip(*(part[i:] for i in range(words)), strict=False)) if len(tokens) >= words else [b" ".join(part)]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=">u8")
+        yield np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), dtype=">u8")
+
+
+def majority(windows: Iterable[np.ndarray]) -> int:
+    """The 64-bit SimHash of hashes: a bit is 1 if it is set in over half of them; zero of none."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in windows:
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, window: int = 65_536) -> int:
+    """The 64-bit SimHash of a whole text over its shingles, repeats included."""
+    return majority(hashed_windows(text, words, seed, window))
+
+
+def sketched(text: str | None, words: int, size: int = SKETCH, seed: int = 42) -> tuple[int, np.ndarray]:
+    """A text's SimHash and the `size` smallest of its different shingle hashes, as signed longs in rising order."""
+    least = np.array([], dtype=np.int64)
+
+    def watched() -> Iterator[np.ndarray]:
+        nonlocal least
+        for hashes in hashed_windows(text, words, seed):
+            least = np.unique(np.concatenate([least, hashes.astype(np.uint64).view(np.int64)]))[:size]
+            yield hashes
+
+    return majority(watched()), least
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed: int = 42, column: str = "fp") -> DataFrame:
     """Add the fingerprint of each whole text as a signed long; null text counts as empty."""
 
@@ -46,6 +76,18 @@ def with_fingerprints(docs: DataFrame, text: str = "text", words: int = 3, seed:
     return docs.withColumn(column, prints(F.col(text)))
 
 
+def with_sketches(docs: DataFrame, text: str, words: int) -> DataFrame:
+    """Add each whole text's fingerprint `fp` and `sketch`, its smallest shingle hashes."""
+
+    @F.pandas_udf("fp long, sketch array<long>")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            made = [sketched(t, words) for t in texts]
+            yield pd.DataFrame({"fp": [f for f, _ in made], "sketch": [x for _, x in made]})
+
+    return docs.withColumn("__both", sketches(F.col(text))).select(*docs.columns, "__both.fp", "__both.sketch")
+
+
 def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     """All pairs (a < b) of different fingerprints in `prints.fp` that differ in at most `max_bits` bits (1 to 3).
 
@@ -142,55 +184,40 @@ def shingles(text: Column, words: int) -> Column:
     return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
-def segment_variants(fp: str, segments: int) -> Column:
-    """Of each segment of a fingerprint its bits and what they are with one bit wiped, as keys: of two near segments one has the other's variant."""
-    keys = []
-    for n in range(segments):
-        start, width = n * 64 // segments, (n + 1) * 64 // segments - n * 64 // segments
-        value, place = F.expr(f"shiftrightunsigned({fp}, {start}) & {(1 << width) - 1}L"), F.lit(n << 40)
-        set_bits = F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(width)]), _held(value))
-        keys.append(F.transform(F.concat(F.array(F.lit(0).cast("long")), set_bits), _wiped(value, place)))
-    return F.flatten(F.array(*keys))
-
-
-def _held(value: Column) -> Callable[[Column], Column]:
-    return lambda bit: value.bitwiseAND(bit) != 0
-
-
-def _wiped(value: Column, place: Column) -> Callable[[Column], Column]:
-    return lambda bit: F.struct(value.bitwiseXOR(bit).bitwiseOR(place).alias("key"), (bit == 0).alias("plain"))
-
-
-def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, segments: int = 3, apart: int = 16, max_broadcast: int = 400_000) -> DataFrame:
+def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
     """(node, component): groups of texts, by hash, whose sets of shingles share at least `similarity` of their union.
 
-    Candidates have a segment of their fingerprints that differs in one bit at most, and `apart` bits in all at
-    most; each is checked by its sets. A segment of each is indexed with one bit wiped, or as it is.
+    `prints` has th, fp and sketch. Candidates share one of the smallest hashes of their shingles, as
+    shared_keys() picks them, and differ in at most APART bits of their fingerprints; each is checked by its
+    whole sets. Sets that share 0.8 of their union have no pick in common with a chance of 0.2 ** PICKS.
     """
-    texts = prints.groupBy("th").agg(F.min("fp").alias("fp"), F.count("*").alias("copies"))
-    rows = texts.select(F.col("th").alias("h1"), "fp", "copies", F.lit(0).alias("n"), F.explode(segment_variants("fp", segments)).alias("v")).select("h1", "fp", "copies", "n", "v.key", "v.plain")
-    several = stored(rows.groupBy("key").agg(F.count("*").alias("lines"), F.bool_or("plain").alias("any")).where("lines > 1 and any").drop("any"))
-    # a text follows its keys only where others have them
-    members = stored(rows.drop("plain").join(F.broadcast(several) if several.count() <= 4 * max_broadcast else several, "key"))
+    texts = stored(prints.groupBy("th").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch")).select(F.col("th").alias("h1"), F.lit(0).alias("n"), "fp", "sketch"))
+    members = shared_keys(texts, F.col("sketch"), PICKS, CROWD, most)
+    sizes = members.groupBy("key").agg(F.count("*").alias("lines"))
+    rows = stored(members.join(texts.select("h1", "fp"), "h1").join(sizes, "key"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = stored(pair_ends(pairs).distinct())
-        wanted = F.broadcast(wanted) if wanted.count() <= max_broadcast else wanted
+        wanted = small(stored(pair_ends(pairs).distinct()), most=most)
         sets = docs.select(F.xxhash64("text").alias("h1"), "text").join(wanted, "h1", "left_semi").dropDuplicates(["h1"]).select("h1", shingles(F.col("text"), words).alias("set"))
         sets = stored(sets)
         both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("h1").alias("b"), F.col("set").alias("b_set")), "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(common >= (F.size("a_set") + F.size("b_set") - common) * similarity - 1e-9).select("a", "b")
 
-    return bucket_groups(members, F.expr(f"bit_count(a_fp ^ b_fp) <= {apart}"), verified, BUCKET_PAIRS)
+    def cut(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # of the first twice as many hashes similar texts share another one, too
+        again = large.join(texts.select("h1", "sketch"), "h1").withColumn("other", F.explode(F.slice("sketch", 1, 2 * PICKS))).where("other <> key")
+        finer = stored(again.withColumn("key", F.xxhash64("key", "other")).drop("sketch", "other"))
+        return finer.where("root <> main"), finer
+
+    return bucket_groups(rows, F.expr(f"bit_count(a_fp ^ b_fp) <= {APART}"), verified, BUCKET_TEXTS, cut)
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = 3, words: int = 3, similarity: float | None = None) -> DataFrame:
     """Keep one document of each group of near-duplicates, with all its columns.
 
     Documents link if their fingerprints differ in at most `max_bits` bits or, with a `similarity`, if their sets
-    of shingles share at least that part of their union and similar_groups() finds them by their fingerprints, which
-    it does the more surely, the more alike they are.
+    of shingles share at least that part of their union and similar_groups() brings them together.
 
     The kept row has the group's smallest doc_id (nulls last; then the smallest text hash); of fully repeated
     rows one stays.
@@ -198,14 +225,17 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     require_columns(docs, doc_id, text)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # a null text counts as empty
-    prints = checkpointed(with_fingerprints(source, words=words).select("doc_id", "fp", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")))
+    hashed = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
     if similarity is None:
+        prints = checkpointed(with_fingerprints(source, words=words).select("doc_id", "fp", hashed))
         with scratch_tables(docs.sparkSession):
             grouped = stored(_groups(prints, max_bits).select("fp", "root"), keep=True)
         rooted = prints.join(grouped, "fp")
     else:
         with scratch_tables(docs.sparkSession):
-            grouped = stored(similar_groups(source.withColumn("text", F.coalesce("text", F.lit(""))), prints, words, similarity), keep=True)
+            sketches = stored(with_sketches(source, "text", words).select("doc_id", "fp", "sketch", hashed))
+            prints = stored(sketches.select("doc_id", "th"), keep=True)
+            grouped = stored(similar_groups(source.withColumn("text", F.coalesce("text", F.lit(""))), sketches, words, similarity), keep=True)
         rooted = prints.join(grouped, prints.th == grouped.node, "left").withColumn("root", F.coalesce("component", "th"))
     order = F.struct(F.col("doc_id").isNull().alias("is_null"), "doc_id", "th")
     winners = rooted.groupBy("root").agg(F.min(order).alias("w"), F.count("*").alias("n")).select(F.col("w.doc_id").alias("__id"), F.col("w.th").alias("__th"), "n")
