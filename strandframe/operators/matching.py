@@ -33,13 +33,13 @@ def resolve_probes(rows: DataFrame, order: list[str]) -> DataFrame:
     return grouped.select(*LOCUS, "n_probes", "n_called", F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)).alias("conflict"), *[first[c].alias(c) for c in ("rsid", "allele1", "allele2", "genotype", "call_status")])
 
 
-def match_cards(cards: DataFrame, probes: DataFrame) -> DataFrame:
-    """Exactly one row per card: status, strand and outcome; the first rule that fits decides.
+def match_cards(cards: DataFrame, probes: DataFrame, observed: bool = False) -> DataFrame:
+    """Exactly one row per card: status, strand and outcome, and with `observed` what was read; the first rule that fits decides.
 
     `cards` has card_id, kind, chrom, pos_grch37, low and high allele, and the outcomes of the genotypes low
     low, low high and high high.
     """
-    j = cards.join(probes, LOCUS, "left")
+    j = cards.join(probes.withColumnRenamed("rsid", "observed_rsid"), LOCUS, "left")
     low, high = F.col("low_allele"), F.col("high_allele")
     palindromic = is_palindromic(low, high)
     inside = ((F.col("allele1") == low) | (F.col("allele1") == high)) & ((F.col("allele2") == low) | (F.col("allele2") == high))
@@ -65,7 +65,7 @@ def match_cards(cards: DataFrame, probes: DataFrame) -> DataFrame:
         .otherwise("matched")
     )
     found = j.withColumn("strand", F.when(F.col("genotype").isNotNull(), strand)).withColumn("outcome", outcome(read)).withColumn("other", other).withColumn("status", status)
-    return found.select("card_id", "kind", "status", "strand", F.when(F.col("status") == "matched", F.col("outcome")).alias("outcome"), F.col("n_called").alias("n_called_probes"))
+    return found.select("card_id", "kind", "status", "strand", F.when(F.col("status") == "matched", F.col("outcome")).alias("outcome"), F.col("n_called").alias("n_called_probes"), *(["genotype", "observed_rsid"] if observed else []))
 
 
 def status_counts(matches: DataFrame) -> DataFrame:

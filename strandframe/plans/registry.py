@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import alleles, privacy
-from ..operators import ancestry, checks, confidence, grid, keys, matching, normalize, qc, references
+from ..operators import ancestry, checks, confidence, grid, keys, matching, normalize, packs, qc, references
 from ..schema import NUMERIC_CODES, chrom_order
 from ..sources import derived
 from .twins import SQL
@@ -53,9 +53,8 @@ def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _matches(spark, sf_dir).select("card_id", "status", "outcome")
     scored = _scored(spark, sf_dir).select("card_id", "score", "final_tier")
     cards = derived.cards(spark, sf_dir).select("card_id", "kind", "title", "section")
-    joined = cards.join(found, "card_id").join(scored, "card_id", "left")
     ok = F.col("status") == "matched"
-    return joined.select(
+    return packs.paired(cards, found, scored).select(
         "card_id", "kind", "title", "section", "status", "outcome", F.when(ok, F.col("score")).alias("score"), F.when(ok, F.col("final_tier")).alias("tier"), ok.alias("interpreted")
     )
 
@@ -406,3 +405,6 @@ def privacy_spans(spark, sf_dir):
 def array_markers(spark, sf_dir):
     markers = _table(spark, sf_dir).select("chrom", "pos_grch37", chrom_order().alias("chrom_order")).where("chrom_order < 22").distinct()
     return markers.orderBy("chrom_order", "pos_grch37")
+
+
+from . import packs as pack_plans  # noqa: E402, F401 - registers further queries

@@ -166,3 +166,29 @@ def damaged_frequencies(cards: DataFrame) -> DataFrame:
         "inline(array(struct(case when card_id % 11 = 0 then 'N' else low_allele end as allele, case when card_id % 13 = 0 then 1.5D else frequency end as frequency),"
         " struct(case when card_id % 7 = 0 then low_allele else high_allele end as allele, case when card_id % 5 = 0 then frequency + 0.75D else 0.25D end as frequency)))",
     )
+
+
+def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """cards() with genes, citations, genotype maps and templates; some templates are broken in each way that there is."""
+    good = "'You have {genotype} at {rsid}.', '{gene}: {effect_value}{effect_units} of {sample_size}', '{{kept}} at {chrom}:{pos}', 'Now {rsid_current}, {confidence}'"
+    bad = "'Open {genotype', 'Alone } here', 'Wide {pos:>10}', 'Which {}', 'Who {nobody}', '  '"
+
+    def text(k: int) -> str:
+        return f"case when (card_id + {k}) % 10 = 0 then element_at(array({bad}), cast(1 + (card_id div 10 + {k}) % 6 as int)) else element_at(array({good}), cast(1 + (card_id + {k}) % 4 as int)) end"
+
+    def outcome(k: int) -> str:
+        return f"struct({text(k)} as summary, {text(k + 1)} as detail)"
+
+    return cards(spark, sf_dir).selectExpr(
+        "*",
+        "case when card_id % 6 <> 0 then concat('GENE', cast(card_id % 50 as string)) end gene",
+        "case when card_id % 4 = 0 then '%' end effect_units",
+        "card_id * 37 % 5000 sample_size",
+        "case when card_id % 14 = 0 then cast(array() as array<string>) else array(concat('doi:', cast(card_id as string))) end citations",
+        "map(concat(low_allele, low_allele), low_outcome, concat(low_allele, high_allele), mid_outcome, concat(high_allele, high_allele), high_outcome) genotypes",
+        f"map_filter(map('lower', {outcome(1)}, 'between', {outcome(3)}, 'higher', {outcome(5)}), (k, v) -> not (card_id % 9 = 0 and k = 'between')) outcomes",
+        "case when kind = 'impossibility' and card_id % 2 = 0 then 'Nothing about {gene} can be told.' when kind = 'impossibility' then '{genotype} of {gene}' end summary",
+        "case when kind = 'impossibility' and card_id % 3 > 0 then 'Arrays do not see {{this}}.' end detail",
+        "case when frequency is null then cast(array() as array<struct<allele: string, frequency: double>>) when card_id % 8 = 0 then array(struct(low_allele as allele, frequency))"
+        " else array(struct(low_allele as allele, frequency), struct(high_allele as allele, 1.0D - frequency as frequency)) end frequencies",
+    )
