@@ -124,34 +124,22 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 STARS = 2
 
 
-def shared_keys(rows: DataFrame, sketch: Column, picks: int, crowd: int, most: int = MOST_BROADCAST) -> DataFrame:
-    """(key, h1, n, copies): each h1 of `rows` (h1, n, ...) under those of its keys that another h1 has, too.
+def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
+    """(key, h1, n, copies): each h1 of `rows` (h1, n, ...) under those of its `picks`, an array of longs, that another h1 has, too.
 
-    `sketch` is a row's features in rising order, of which it keys itself by the first `picks`. Two rows that share
-    a part J of the features of both thus miss each other with a chance of (1 - J) ** picks. Features that key
-    more than `crowd` rows come after all others in that order: rows that have one pick anew, so that what many
-    different rows have in common makes no large bucket unless a row has nothing else.
+    A pick that more than `crowd` rows have is no key by itself but together with each other pick of a row: what
+    many different rows have in common makes no large bucket unless they have more in common. Two rows alone under a key
+    whose sizes n differ by more than `similarity` allows are left out.
     """
-    keyed = rows.select("h1", "n", sketch.alias("sketch"))
-    picked = keyed.select("h1", "n", F.explode(F.slice("sketch", 1, picks)).alias("key"))
-
-    def counted(picked: DataFrame) -> DataFrame:
-        return stored(picked.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("key", "rows"))
-
-    shared = counted(picked)
-    crowded = stored(shared.where(F.col("rows") > crowd).select("key"))
-    if not crowded.isEmpty():
-        crowded = small(crowded, most=most)
-        anew = stored(picked.join(crowded, "key", "left_semi").select("h1").distinct())
-        anew = small(anew, most=most)
-        each = keyed.join(anew, "h1", "left_semi").select("h1", "n", F.explode("sketch").alias("key")).distinct()
-        marked = each.join(crowded.withColumn("late", F.lit(True)), "key", "left")
-        best = marked.groupBy("h1", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("late", F.lit(False)).alias("late"), "key"))), 1, picks).alias("first"))
-        again = stored(best.select("h1", "n", F.explode("first.key").alias("key")))
-        # a row that picked anew stands for all its copies
-        picked = keyed.join(anew, "h1", "left_anti").select("h1", "n", F.explode(F.slice("sketch", 1, picks)).alias("key")).unionByName(again)
-        shared = counted(picked)
-    return stored(picked.join(small(shared.select("key"), most=most), "key").groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
+    picked = rows.select("h1", "n", picks.alias("picks"))
+    keyed = picked.select("h1", "n", F.explode("picks").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.count("*").alias("rows"))
+    fits = (F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (F.col("greatest") * similarity <= F.col("least") + 1e-9))
+    shared = stored(shared.where(fits).select("key", (F.col("rows") > crowd).alias("crowded")))
+    met = picked.select("h1", "n", "picks", F.explode("picks").alias("key")).join(small(shared, 2, most), "key")
+    finer = F.transform(F.array_except("picks", F.array("key")), lambda other: F.xxhash64(F.least(other, F.col("key")), F.greatest(other, F.col("key"))))
+    keys = F.when(F.col("crowded"), finer).otherwise(F.array("key"))
+    return stored(met.select("h1", "n", F.explode(keys).alias("key")).groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
 
 
 def pair_ends(pairs: DataFrame) -> DataFrame:

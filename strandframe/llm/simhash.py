@@ -15,11 +15,11 @@ from .common import MOST_BROADCAST, bucket_groups, checkpointed, connected_compo
 #: A bucket of more candidate pairs than this is cut further by the bits that it does not share yet.
 BUCKET_PAIRS = 65_536
 #: A bucket of more texts that may be similar is cut by a second hash.
-BUCKET_TEXTS = 32
+BUCKET_TEXTS = 64
 
 
-#: Near-duplicates by shingle sets meet under PICKS of their SKETCH smallest shingle hashes; hashes of more than CROWD texts come last.
-PICKS, SKETCH, CROWD = 4, 32, 256
+#: Near-duplicates by shingle sets meet under PICKS, their smallest shingle hashes; one of more than CROWD texts counts only together with another.
+PICKS, CROWD = 8, 64
 #: Similar sets' fingerprints differ in fewer bits than this, at a similarity of 0.8 in 10 on average.
 APART = 22
 
@@ -52,7 +52,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42, window: int =
     return majority(hashed_windows(text, words, seed, window))
 
 
-def sketched(text: str | None, words: int, size: int = SKETCH, seed: int = 42) -> tuple[int, np.ndarray]:
+def sketched(text: str | None, words: int, size: int = PICKS, seed: int = 42) -> tuple[int, np.ndarray]:
     """A text's SimHash and the `size` smallest of its different shingle hashes, as signed longs in rising order."""
     least = np.array([], dtype=np.int64)
 
@@ -188,11 +188,11 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     """(node, component): groups of texts, by hash, whose sets of shingles share at least `similarity` of their union.
 
     `prints` has th, fp and sketch. Candidates share one of the smallest hashes of their shingles, as
-    shared_keys() picks them, and differ in at most APART bits of their fingerprints; each is checked by its
-    whole sets. Sets that share 0.8 of their union have no pick in common with a chance of 0.2 ** PICKS.
+    shared_keys() keys them, and differ in at most APART bits of their fingerprints; each is checked by its
+    whole sets. Sets that share 0.8 of their union have fewer than two of 8 picks in common with a chance of 0.0001.
     """
     texts = stored(prints.groupBy("th").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch")).select(F.col("th").alias("h1"), F.lit(0).alias("n"), "fp", "sketch"))
-    members = shared_keys(texts, F.col("sketch"), PICKS, CROWD, most)
+    members = shared_keys(texts, F.col("sketch"), CROWD, similarity, most)
     sizes = members.groupBy("key").agg(F.count("*").alias("lines"))
     rows = stored(members.join(texts.select("h1", "fp"), "h1").join(sizes, "key"))
 
@@ -205,8 +205,7 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
         return both.where(common >= (F.size("a_set") + F.size("b_set") - common) * similarity - 1e-9).select("a", "b")
 
     def cut(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # of the first twice as many hashes similar texts share another one, too
-        again = large.join(texts.select("h1", "sketch"), "h1").withColumn("other", F.explode(F.slice("sketch", 1, 2 * PICKS))).where("other <> key")
+        again = large.join(texts.select("h1", "sketch"), "h1").withColumn("other", F.explode("sketch")).where("other <> key")
         finer = stored(again.withColumn("key", F.xxhash64("key", "other")).drop("sketch", "other"))
         return finer.where("root <> main"), finer
 
