@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -99,87 +99,199 @@ def projection_coverage(dosages: DataFrame, weights: DataFrame) -> DataFrame:
     return per_sample.agg(F.min("n").alias("least_called")).crossJoin(markers.agg(F.count("*").alias("n_markers"))).select("least_called", "n_markers", F.when(F.col("n_markers") > 0, F.round(F.col("least_called") / F.col("n_markers"), 6)).otherwise(0.0).alias("coverage"))
 
 
-def linked_pairs(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2) -> DataFrame:
-    """(chrom, keep_id, drop_id, r2): pairs of sites within a window whose squared correlation passes `r2`.
+def _samples(dosages: DataFrame) -> list:
+    """The samples in order: all that the driver and each task hold of them is a list of ids."""
+    return [r[0] for r in dosages.select("sample_id").distinct().orderBy("sample_id").collect()]
+
 
-    Positions meet through bins as wide as the window, each site in its own bin and looked up from it and the
-    next one, so only neighbours are joined.
+def _positioned_pairs(dosages: DataFrame, window: int, r2: float) -> DataFrame:
+    """(chrom, keep_id, keep_pos, drop_id, drop_pos, r2) of pairs within a window whose squared correlation, to six places, passes `r2`.
+
+    Each site's calls go to two tasks, as bytes: to that of its position bin, as wide as the window, and to that of
+    the bin before. A task multiplies its sites with their neighbours as matrices, some hundred sites at a time.
     """
-    sites = dosages.groupBy("variant_id", *LOCUS).agg(F.sort_array(F.collect_list(F.struct("sample_id", "dosage"))).alias("calls"))
-    own = sites.withColumn("bin", F.floor(F.col("pos_grch37") / window))
-    left = own.select("chrom", "bin", F.col("variant_id").alias("a"), F.col("pos_grch37").alias("a_pos"), F.col("calls.dosage").alias("x"))
-    right = own.select("chrom", F.explode(F.array(F.col("bin"), F.col("bin") - 1)).alias("bin"), F.col("variant_id").alias("b"), F.col("pos_grch37").alias("b_pos"), F.col("calls.dosage").alias("y"))
-    near = left.join(right, ["chrom", "bin"]).where("(a_pos, a) < (b_pos, b)").where(F.col("b_pos") - F.col("a_pos") <= window)
-    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "xx", "yy", "xy")])
-    both = F.filter(F.arrays_zip("x", "y"), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    sums = F.aggregate(
-        both, zero, lambda s, p: F.struct((s["n"] + 1).alias("n"), (s["sx"] + p["x"]).alias("sx"), (s["sy"] + p["y"]).alias("sy"), (s["xx"] + p["x"] * p["x"]).alias("xx"), (s["yy"] + p["y"] * p["y"]).alias("yy"), (s["xy"] + p["x"] * p["y"]).alias("xy"))
-    )
-    s = F.col("s")
-    cov, vx, vy = s["n"] * s["xy"] - s["sx"] * s["sy"], s["n"] * s["xx"] - s["sx"] ** 2, s["n"] * s["yy"] - s["sy"] ** 2
-    rated = near.withColumn("s", sums).withColumn("r2", F.when((vx > 0) & (vy > 0), F.round(cov * cov / (vx * vy), 6)))
-    return rated.where(F.col("r2") > r2).select("chrom", F.col("a").alias("keep_id"), F.col("b").alias("drop_id"), "r2")
+    place = {x: i for i, x in enumerate(_samples(dosages))}
+    kind = dosages.schema["variant_id"].dataType.simpleString()
+    sites = dosages.groupBy("variant_id", *LOCUS).agg(F.collect_list("sample_id").alias("s"), F.collect_list(F.coalesce("dosage", F.lit(-1)).cast("tinyint")).alias("d"))
 
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = np.full((len(batch), len(place)), -1, dtype=np.int8)
+            for i, (ids, values) in enumerate(zip(batch["s"], batch["d"], strict=True)):
+                rows[i, [place[x] for x in ids]] = values
+            yield batch[["variant_id", "chrom", "pos_grch37"]].assign(calls=[r.tobytes() for r in rows])
+
+    calls = sites.mapInPandas(packed, f"variant_id {kind}, chrom string, pos_grch37 long, calls binary")
+    own = F.floor(F.col("pos_grch37") / window)
+    dealt = calls.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+
+    def correlated(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["pos_grch37", "variant_id"], ignore_index=True)
+        x = np.stack([np.frombuffer(b, dtype=np.int8) for b in group["calls"]]).astype(np.float64)
+        there = (x >= 0).astype(np.float64)
+        x = x * there
+        pos, left = group["pos_grch37"].to_numpy(), np.flatnonzero((group["own"] == group["bin"]).to_numpy())
+        found = []
+        for start in range(0, len(left), 256):
+            i = left[start : start + 256]
+            n, sx, sy = there[i] @ there.T, x[i] @ there.T, there[i] @ x.T
+            xx, yy, xy = (x[i] * x[i]) @ there.T, there[i] @ (x * x).T, x[i] @ x.T
+            cov, vx, vy = n * xy - sx * sy, n * xx - sx * sx, n * yy - sy * sy
+            near = (np.arange(len(pos)) > i[:, None]) & (pos - pos[i][:, None] <= window) & (vx > 0) & (vy > 0)
+            a, b = np.nonzero(near)
+            rated = cov[a, b] * cov[a, b] / (vx[a, b] * vy[a, b])
+            # rounded later, so a little below the limit may pass
+            keep = rated > r2 - 1e-6
+            found.append((i[a[keep]], b[keep], rated[keep]))
+        a, b, rated = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], int), np.array([], int), np.array([]))
+        ids = group["variant_id"]
+        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "keep_id": ids.iloc[a].to_numpy(), "keep_pos": pos[a], "drop_id": ids.iloc[b].to_numpy(), "drop_pos": pos[b], "r2": rated})
+
+    form = f"chrom string, keep_id {kind}, keep_pos long, drop_id {kind}, drop_pos long, r2 double"
+    pairs = dealt.groupBy("chrom", "bin").applyInPandas(correlated, form)
+    return pairs.withColumn("r2", F.round("r2", 6)).where(F.col("r2") > r2)
 
-def ld_prune(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2, max_rounds: int = 100) -> DataFrame:
-    """(variant_id): a greedy independent set, earlier sites first.
 
-    A site stays once no undecided or kept earlier site is linked to it; sites linked to a kept earlier one
-    go. Rounds of joins decide all sites that can be decided at the same time, instead of one site after another.
+def linked_pairs(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2) -> DataFrame:
+    """(chrom, keep_id, drop_id, r2): pairs of sites within a window whose squared correlation passes `r2`; missing calls count for neither of a pair."""
+    return _positioned_pairs(dosages, window, r2).select("chrom", "keep_id", "drop_id", "r2")
+
+
+#: Blocks of the greedy walk, in windows.
+WALK_WINDOWS = 16
+
+
+def ld_prune(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2) -> DataFrame:
+    """(variant_id): what a greedy walk along each chromosome keeps: a site stays if no kept earlier one is linked to it.
+
+    Blocks of positions are walked at the same time, each given which sites before it went. At first none did; blocks
+    whose sites before turn out otherwise are walked again, until nothing changes. As block after block is final,
+    that ends, mostly after a few rounds: what happened at one end of a block seldom reaches the other.
     """
-    links = checkpointed(linked_pairs(dosages, window, r2).select("keep_id", "drop_id"))
-    undecided = checkpointed(dosages.select("variant_id").distinct())
-    kept = None
-    for _ in range(max_rounds):
-        open_links = links.join(undecided.withColumnRenamed("variant_id", "keep_id"), "keep_id", "left_semi")
-        free = checkpointed(undecided.join(open_links.select(F.col("drop_id").alias("variant_id")).distinct(), "variant_id", "left_anti"))
-        gone = links.join(free.withColumnRenamed("variant_id", "keep_id"), "keep_id", "left_semi").select(F.col("drop_id").alias("variant_id"))
-        kept = free if kept is None else kept.unionByName(free)
-        undecided = checkpointed(undecided.join(free.unionByName(gone).distinct(), "variant_id", "left_anti"))
-        if undecided.isEmpty():
-            return kept
-    raise RuntimeError("pruning did not settle")
-
-
-def reference_components(dosages: DataFrame, k: int = 2, max_samples: int = 5000, least_samples: int = 0, least_markers: int = 0) -> DataFrame:
+    width = window * WALK_WINDOWS
+    block = lambda pos: F.floor(F.col(pos) / width)
+    links = checkpointed(_positioned_pairs(dosages, window, r2).select("chrom", "keep_id", "drop_id", "drop_pos", block("keep_pos").alias("from"), block("drop_pos").alias("block")))
+    kind = dosages.schema["variant_id"].dataType.simpleString()
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group, gone = group.sort_values(["drop_pos", "drop_id"]), set(group.loc[group["gone"], "keep_id"])
+        for keep, drop in zip(group["keep_id"], group["drop_id"], strict=True):
+            # links come in order of their later site, so the earlier one is decided
+            if keep not in gone and drop not in gone:
+                gone.add(drop)
+        dropped = [x for x in group["drop_id"].unique() if x in gone]
+        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "block": group["block"].iloc[0], "variant_id": dropped})
+
+    form = f"chrom string, block long, variant_id {kind}"
+    crossing = checkpointed(links.where(F.col("from") < F.col("block")).select("chrom", F.col("from").alias("block"), F.col("keep_id").alias("variant_id"), F.col("block").alias("into")).distinct())
+    before, dropped, stale = None, None, None
+    while True:
+        todo = links if stale is None else links.join(stale, ["chrom", "block"], "left_semi")
+        if before is None:
+            marked = todo.withColumn("gone", F.lit(False))
+        else:
+            flags = before.select(F.col("chrom").alias("c"), F.col("variant_id").alias("v"), F.col("into").alias("b"), F.lit(True).alias("gone"))
+            marked = todo.join(flags, (todo.chrom == flags.c) & (todo.keep_id == flags.v) & (todo.block == flags.b), "left").drop("c", "v", "b").withColumn("gone", F.coalesce("gone", F.lit(False)))
+        walked = marked.groupBy("chrom", "block").applyInPandas(walk, form)
+        dropped = checkpointed(walked if dropped is None else dropped.join(stale, ["chrom", "block"], "left_anti").unionByName(walked))
+        now = checkpointed(crossing.join(dropped, ["chrom", "block", "variant_id"], "left_semi"))
+        moved = now if before is None else now.exceptAll(before).unionByName(before.exceptAll(now))
+        stale = checkpointed(moved.select("chrom", F.col("into").alias("block")).distinct())
+        before = now
+        if stale.isEmpty():
+            return dosages.select("variant_id").distinct().join(dropped.select("variant_id").distinct(), "variant_id", "left_anti")
+
+
+#: The driver holds so many more directions than asked for, and at most so many blocks of them at once.
+SPARE, MOST_BLOCKS = 8, 12
+
+
+def reference_components(dosages: DataFrame, k: int = 10, least_samples: int = 50, least_markers: int = 1000, tolerance: float = 1e-9) -> DataFrame:
     """(variant_id, frequency, component, weight): leading axes of standardized dosages, missing calls at the mean.
 
-    Each task sums the products of its sites between samples; their sum, a matrix of at most `max_samples`
-    squared, is all that the driver sees. Weights have length one, the largest of a component is positive.
-    Fewer samples than `least_samples` or varying markers than `least_markers` are refused (50 and 1,000 are usual).
+    Fewer samples than `least_samples` or varying markers than `least_markers` are refused. Weights have length one, the
+    largest of a component is positive; components without variance are left out.
+
+    The products of the sites with some directions of the samples are summed over all tasks, and the directions turned
+    until they stay: a block Krylov iteration, kept orthogonal, and begun anew from the best ones when it holds
+    MOST_BLOCKS blocks. The driver has samples x directions only, and no task a matrix of samples squared.
     """
     called = dosages.where("dosage is not null")
     stats = called.groupBy("variant_id").agg((F.avg("dosage") / 2).alias("frequency")).where("frequency > 0 and frequency < 1")
-    z = called.join(stats, "variant_id").select("variant_id", "frequency", "sample_id", ((F.col("dosage") - 2 * F.col("frequency")) / F.sqrt(2 * F.col("frequency") * (1 - F.col("frequency")))).alias("z"))
-    samples = [r[0] for r in dosages.select("sample_id").distinct().orderBy("sample_id").limit(max_samples + 1).collect()]
-    if len(samples) > max_samples:
-        raise ValueError(f"more than {max_samples} samples")
-    if len(samples) < least_samples:
-        raise ValueError(f"{len(samples)} samples, fewer than {least_samples}")
+    samples = _samples(dosages)
+    n = len(samples)
+    if n < least_samples:
+        raise ValueError(f"{n} samples, fewer than {least_samples}")
     if least_markers and (markers := stats.count()) < least_markers:
         raise ValueError(f"{markers} varying markers, fewer than {least_markers}")
-    place, n = {s: i for i, s in enumerate(samples)}, len(samples)
-    sites = z.groupBy("variant_id", "frequency").agg(F.collect_list("sample_id").alias("s"), F.collect_list("z").alias("z"))
+    form = dosages.schema["sample_id"].dataType.simpleString()
+    numbers = dosages.sparkSession.createDataFrame(list(enumerate(samples)), f"i int, sample_id {form}")
+    z = called.join(stats, "variant_id").join(numbers, "sample_id").select("variant_id", "frequency", "i", ((F.col("dosage") - 2 * F.col("frequency")) / F.sqrt(2 * F.col("frequency") * (1 - F.col("frequency")))).alias("z"))
+    sites = checkpointed(z.groupBy("variant_id", "frequency").agg(F.collect_list("i").alias("i"), F.collect_list("z").alias("z")))
+    if not n or sites.isEmpty():
+        return stats.limit(0).select("variant_id", "frequency", F.lit(0).alias("component"), F.lit(0.0).alias("weight"))
+    values, axes = _leading(lambda v: _site_products(sites, v), n, k, tolerance)
+    scaled = axes / np.sqrt(values)
+
+    def weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = _rows(batch, n) @ scaled
+            yield pd.DataFrame({"variant_id": np.repeat(batch["variant_id"].to_numpy(), scaled.shape[1]), "frequency": np.repeat(batch["frequency"].to_numpy(), scaled.shape[1]), "component": np.tile(np.arange(1, scaled.shape[1] + 1, dtype=np.int32), len(batch)), "weight": rows.ravel()})
+
+    kind = dosages.schema["variant_id"].dataType.simpleString()
+    weights = sites.mapInPandas(weighed, f"variant_id {kind}, frequency double, component int, weight double")
+    signs = weights.groupBy("component").agg(F.signum(F.max_by("weight", F.struct(F.round(F.abs("weight"), 12), "variant_id"))).alias("sign"))
+    # a row a component
+    return weights.join(F.broadcast(signs), "component").select("variant_id", "frequency", "component", (F.col("weight") * F.col("sign")).alias("weight"))
+
+
+def _rows(batch: pd.DataFrame, n: int) -> np.ndarray:
+    rows = np.zeros((len(batch), n))
+    for at, (i, z) in enumerate(zip(batch["i"], batch["z"], strict=True)):
+        rows[at, i] = z
+    return rows
+
+
+def _site_products(sites: DataFrame, directions: np.ndarray) -> np.ndarray:
+    """The sum over sites of z (z v) for the columns v of `directions`; each task sends one matrix of that shape, in pieces."""
+    n, width = directions.shape
+    piece = max(1, (1 << 16) // max(1, width))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((n, n))
+        total = np.zeros((n, width))
         for batch in batches:
-            rows = np.zeros((len(batch), n))
-            for i, (ids, values) in enumerate(zip(batch["s"], batch["z"], strict=True)):
-                rows[i, [place[x] for x in ids]] = values
-            total += rows.T @ rows
-        yield pd.DataFrame({"i": np.arange(n), "row": list(total)})
+            rows = _rows(batch, n)
+            total += rows.T @ (rows @ directions)
+        yield pd.DataFrame({"at": range(0, n, piece), "part": [total[i : i + piece].tobytes() for i in range(0, n, piece)]})
 
     def added(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": frame["i"].iloc[:1], "row": [np.sum(np.stack(frame["row"].to_numpy()), axis=0)]})
-
-    summed = sites.mapInPandas(products, "i int, row array<double>").groupBy("i").applyInPandas(added, "i int, row array<double>").toPandas().sort_values("i")
-    if not n or not len(summed):
-        return stats.limit(0).select("variant_id", "frequency", F.lit(0).alias("component"), F.lit(0.0).alias("weight"))
-    values, vectors = np.linalg.eigh(np.stack(summed["row"].to_numpy()))
-    axes = [(s, c + 1, float(vectors[i, -1 - c] / np.sqrt(max(values[-1 - c], 1e-300)))) for c in range(min(k, n)) for i, s in enumerate(samples)]
-    # at most max_samples * k short rows
-    scores = F.broadcast(dosages.sparkSession.createDataFrame(axes, f"sample_id {dosages.schema['sample_id'].dataType.simpleString()}, component int, u double"))
-    weights = z.join(scores, "sample_id").groupBy("variant_id", "frequency", "component").agg(F.sum(F.col("z") * F.col("u")).alias("weight"))
-    signs = weights.groupBy("component").agg(F.signum(F.max_by("weight", F.abs("weight"))).alias("sign"))
-    return weights.join(F.broadcast(signs), "component").select("variant_id", "frequency", "component", (F.col("weight") * F.col("sign")).alias("weight"))
+        return pd.DataFrame({"at": frame["at"].iloc[:1], "part": [np.sum([np.frombuffer(b) for b in frame["part"]], axis=0).tobytes()]})
+
+    parts = sites.mapInPandas(products, "at int, part binary").groupBy("at").applyInPandas(added, "at int, part binary").toPandas().sort_values("at")
+    return np.concatenate([np.frombuffer(b) for b in parts["part"]]).reshape(n, width)
+
+
+def _leading(product: Callable[[np.ndarray], np.ndarray], n: int, k: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues, but for zeros, and eigenvectors of a symmetric n x n matrix that is known by its products."""
+    wide = min(n, k + SPARE)
+    block = np.linalg.qr(np.random.default_rng(1).normal(size=(n, wide)))[0]
+    basis, image = np.zeros((n, 0)), np.zeros((n, 0))
+    while True:
+        basis, image = np.hstack([basis, block]), np.hstack([image, product(block)])
+        small = basis.T @ image
+        values, turns = np.linalg.eigh((small + small.T) / 2)
+        values, turns = values[::-1], turns[:, ::-1]
+        axes, moved = basis @ turns, image @ turns
+        rest = np.linalg.norm(moved[:, :k] - axes[:, :k] * values[:k], axis=0)
+        if basis.shape[1] == n or not block.shape[1] or rest.max() <= tolerance * max(values[0], 1e-300):
+            some = values[:k] > 1e-10 * max(values[0], 0)
+            return values[:k][some], axes[:, :k][:, some]
+        fresh = image[:, -block.shape[1] :]
+        if basis.shape[1] + wide > MOST_BLOCKS * wide:
+            fresh = moved[:, :wide] - axes[:, :wide] * values[:wide]
+            basis, image = axes[:, :wide], moved[:, :wide]
+        for _ in range(2):
+            fresh = fresh - basis @ (basis.T @ fresh)
+        left, size, _ = np.linalg.svd(fresh, full_matrices=False)
+        block = left[:, size > 1e-12 * max(size[0], 1e-300)][:, : n - basis.shape[1]]
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]

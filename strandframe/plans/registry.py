@@ -334,7 +334,7 @@ def ld_prune(spark, sf_dir):
 
 @query
 def reference_pca(spark, sf_dir):
-    return ancestry.reference_components(derived.panel(spark, sf_dir), k=2)
+    return ancestry.reference_components(derived.panel(spark, sf_dir), k=10, least_samples=40, least_markers=0)
 
 
 @query
