@@ -133,8 +133,10 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, m
     """
     picked = rows.select("h1", "n", picks.alias("picks"))
     keyed = picked.select("h1", "n", F.explode("picks").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.min("n").alias("least"), F.max("n").alias("greatest"), F.count("*").alias("rows"))
-    fits = (F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (F.col("greatest") * similarity <= F.col("least") + 1e-9))
+    # size above, a part of the hash below: two numbers tell whether there are different rows, and of what sizes
+    mixed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
+    shared = keyed.select("key", mixed.alias("row")).groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("*").alias("rows"))
+    fits = (F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (F.shiftright("hi", 32) * similarity <= F.shiftright("lo", 32) + 1e-9))
     shared = stored(shared.where(fits).select("key", (F.col("rows") > crowd).alias("crowded")))
     met = picked.select("h1", "n", "picks", F.explode("picks").alias("key")).join(small(shared, 2, most), "key")
     finer = F.transform(F.array_except("picks", F.array("key")), lambda other: F.xxhash64(F.least(other, F.col("key")), F.greatest(other, F.col("key"))))
