@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import dimension
@@ -46,9 +46,10 @@ def filtered(cards: DataFrame, query: GridQuery) -> DataFrame:
 
 
 def grid_groups(cards: DataFrame, query: GridQuery, sections: tuple[str, ...]) -> DataFrame:
-    """A row per known group in order, with total and interpreted before the filter and shown after it; zeros kept.
+    """A row per known group in order, then one for each other label that cards have, with total and interpreted before the filter and shown after it; zeros kept.
 
-    Groups by tier end with untiered.
+    Groups by tier end with untiered, unknown labels follow in alphabetical order: a card of a later version
+    is shown, not lost.
     """
     key = "section" if query.group == "section" else "tier"
     labels = sections if key == "section" else (*TIERS, "untiered")
@@ -56,11 +57,14 @@ def grid_groups(cards: DataFrame, query: GridQuery, sections: tuple[str, ...]) -
     before = cards.groupBy(label).agg(F.count("*").alias("total"), F.count_if("interpreted").alias("interpreted"))
     after = filtered(cards, query).groupBy(label).agg(F.count("*").alias("shown"))
     known = dimension(cards.sparkSession, "label", labels)
+    # a row a label
+    more = before.join(known, "label", "left_anti").select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("label")) + len(labels) - 1).alias("rank"), "label")
+    known = known.unionByName(more)
     return known.join(before, "label", "left").join(after, "label", "left").select("rank", "label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "interpreted", "shown")])
 
 
 def grid_cards(cards: DataFrame, query: GridQuery, sections: tuple[str, ...]) -> DataFrame:
-    """The filtered cards in the query's order."""
+    """The filtered cards in the query's order; those of unknown sections or tiers come last in it."""
     from ..schema import literal_map
 
     tier_rank = F.coalesce(F.try_element_at(literal_map({t: i for i, t in enumerate(TIERS)}), F.col("tier")), F.lit(len(TIERS)))

@@ -139,3 +139,14 @@ def qc_warnings(table: DataFrame, anchors: DataFrame, chroms: tuple[str, ...] =
     ]
     found = row.select(F.explode(F.array(*[F.struct(F.lit(p).alias("precedence"), F.lit(n).alias("warning"), r.alias("raised")) for p, n, r in rules])).alias("w"))
     return found.where("w.raised").select("w.precedence", "w.warning")
+
+
+def qc_report(table: DataFrame, anchors: DataFrame) -> DataFrame:
+    """All measures of a sample as one row, with the names of its warnings in their order."""
+    warned = qc_warnings(table, anchors).agg(F.transform(F.array_sort(F.collect_list(F.struct("precedence", "warning"))), lambda w: w["warning"]).alias("warnings"))
+    counts = infer_sex(sample_counts(table))
+    measured = counts.select(
+        "n_rows", "n_called", rate(F.col("n_called"), F.col("n_rows")).alias("call_rate"), rate(F.col("autosomal_het"), F.col("autosomal_loci")).alias("autosomal_rate"), "x_rate", "y_rate", "sex", "n_indels"
+    )
+    # four frames of one row each
+    return measured.crossJoin(duplicate_summary(table)).crossJoin(build_check(table, anchors).select("n_found", "verdict")).crossJoin(warned)

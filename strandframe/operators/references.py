@@ -37,8 +37,13 @@ def pair_anchors(placements: DataFrame) -> DataFrame:
     return unique.select("rsid", "lo.chrom", "lo.pos_grch37", "lo.pos_grch38", "gene")
 
 
-def round_robin(anchors: DataFrame, count: int) -> DataFrame:
-    """`count` anchors: the first of each chromosome in order of rsid number, then the second of each, and so on."""
+def round_robin(anchors: DataFrame, count: int, least: int | None = None) -> DataFrame:
+    """`count` anchors: the first of each chromosome in order of rsid number, then the second of each, and so on.
+
+    Fewer than `least` anchors, `count` unless given, are refused: a build check over fewer would say less than it seems to.
+    """
+    if (found := anchors.count()) < (count if least is None else least):
+        raise ValueError(f"{found} anchors, fewer than {count if least is None else least}")
     number = F.substring("rsid", 3, 20).cast("long")
     ranked = anchors.withColumn("turn", F.row_number().over(Window.partitionBy("chrom").orderBy(number))).withColumn("chrom_order", chrom_order())
     # a chromosome can't give more than `count`

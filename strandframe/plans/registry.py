@@ -279,7 +279,7 @@ def anchor_pairing(spark, sf_dir):
 
 @query
 def anchor_round_robin(spark, sf_dir):
-    return references.round_robin(references.pair_anchors(derived.placements(spark, sf_dir)), 200)
+    return references.round_robin(references.pair_anchors(derived.placements(spark, sf_dir)), 200, least=1)
 
 
 @query
@@ -407,4 +407,5 @@ def array_markers(spark, sf_dir):
     return markers.orderBy("chrom_order", "pos_grch37")
 
 
-from . import packs as pack_plans  # noqa: E402, F401 - registers further queries
+from . import inputs as input_plans  # noqa: E402, F401 - registers further queries
+from . import packs as pack_plans  # noqa: E402, F401

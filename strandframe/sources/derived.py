@@ -192,3 +192,21 @@ def pack(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case when frequency is null then cast(array() as array<struct<allele: string, frequency: double>>) when card_id % 8 = 0 then array(struct(low_allele as allele, frequency))"
         " else array(struct(low_allele as allele, frequency), struct(high_allele as allele, 1.0D - frequency as frequency)) end frequencies",
     )
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(citation_id, type, id, title, database) of parts: five types and an unknown one, some identifiers, titles and databases odd."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey p").selectExpr(
+        "p citation_id",
+        "case when p % 29 = 0 then null else element_at(array('doi', ' PMID', 'pmcid', 'accession', 'url', 'book'), cast(1 + p % 6 as int)) end type",
+        "case p % 6 when 0 then concat(case when p % 4 = 0 then 'https://DOI.org/' when p % 4 = 2 then 'doi:' else '' end, '10.', cast(1000 + p % 9000 as string), '/x.', cast(p as string), case when p % 8 = 0 then ' y' else '' end)"
+        " when 1 then cast(p - p % 7 as string) when 2 then concat(case when p % 5 = 0 then 'PMC' else 'pmc' end, cast(p as string)) when 3 then concat('rs', cast(p as string))"
+        " when 4 then concat(case when p % 8 = 4 then 'javascript:' else 'https://' end, 'a.org/', cast(p as string)) else 'b' end id",
+        "case when p % 31 = 0 then '  ' else concat('Title ', cast(p as string)) end title",
+        "case when p % 6 = 3 and p % 5 > 0 then element_at(array('dbSNP', 'PGS-Catalog', 'Clin Var', 'nowhere'), cast(1 + p % 4 as int)) when p % 37 = 0 then 'dbSNP' end database",
+    )
+
+
+def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per supplier with component columns that are neither in order nor numbered without gaps."""
+    return table(spark, sf_dir, "supplier").selectExpr("concat('S', cast(s_suppkey as string)) IID", "2 * s_suppkey ALLELE_CT", "s_suppkey / 8.0D PC10_AVG", "-s_suppkey / 4.0D SCORE2_SUM", "0.5D PC2_X", "s_nationkey / 2.0D PC1_AVG")
