@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, require_columns
+from .common import checkpointed, require_columns, small
 
 
 class FlatGraph:
@@ -219,30 +219,50 @@ def build_index(
     return keyed.groupBy("dim", "band", "shard").applyInPandas(build, INDEX), places
 
 
-def _search(batches: Iterator[pd.DataFrame], k: int, width: int, degree: int) -> Iterator[pd.DataFrame]:
+KEY = ["dim", "band", "shard", "copy"]
+
+
+class LoadedShard:
+    """A shard's row of build_index() as arrays to search."""
+
+    def __init__(self, row, degree: int) -> None:
+        self.own = np.asarray(row["vectors"], dtype=np.float64).reshape(int(row["size"]), int(row["dim"]))
+        sizes, lists, at = [int(n) for n in row["level_sizes"]], [], 0
+        flat = np.asarray(row["neighbours"], dtype=np.int32)
+        for i, n in enumerate(sizes):
+            bound = degree * (2 if i == len(sizes) - 1 else 1)
+            lists.append(flat[at : at + n * bound].reshape(n, bound))
+            at += n * bound
+        self.graph = FlatGraph(lift(self.own), sizes, lists)
+        self.starts = np.concatenate([[0], np.cumsum(np.asarray(row["id_counts"], dtype=np.int64))])
+        self.ids = np.asarray(row["ids"], dtype=np.int64)
+
+    def answers(self, query_ids: list[int], queries: np.ndarray, k: int, width: int) -> list[tuple[int, int, float]]:
+        """The k best of the shard found for each query, but for its own id; the graph works in single precision, scores are of the original vectors."""
+        out = []
+        for q, (query_id, near) in enumerate(zip(query_ids, self.graph.search(lift(queries, query=True), max(width, k + 1)), strict=True)):
+            near = near[near >= 0]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = np.einsum("nd,d->n", self.own[near], queries[q])
+            every = [(-s, i) for s, p in zip(scores.tolist(), near.tolist(), strict=True) for i in self.ids[self.starts[p] : self.starts[p + 1]].tolist() if i != query_id]
+            out += [(int(query_id), i, -s) for s, i in sorted(every)[:k]]
+        return out
+
+
+def _search(batches: Iterator[pd.DataFrame], k: int, width: int, degree: int, block: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard: its own row first, which is loaded once, then the queries sent to it, as they come."""
+    shard = None
     for batch in batches:
-        for row in batch.itertuples(index=False):
-            own = np.asarray(row.vectors, dtype=np.float64).reshape(row.size, row.dim)
-            sizes, lists, at = list(row.level_sizes), [], 0
-            flat = np.asarray(row.neighbours, dtype=np.int32)
-            for i, n in enumerate(sizes):
-                bound = degree * (2 if i == len(sizes) - 1 else 1)
-                lists.append(flat[at : at + n * bound].reshape(n, bound))
-                at += n * bound
-            graph = FlatGraph(lift(own), sizes, lists)
-            queries = np.asarray(row.query_vectors, dtype=np.float64).reshape(-1, row.dim)
-            starts = np.concatenate([[0], np.cumsum(row.id_counts)])
-            ids = np.asarray(row.ids, dtype=np.int64)
-            # the graph works in single precision; scores are taken from the original vectors
-            found = graph.search(lift(queries, query=True), max(width, k + 1))
-            out = []
-            for q, (query_id, near) in enumerate(zip(row.query_ids, found, strict=True)):
-                near = near[near >= 0]
-                with np.errstate(over="ignore", invalid="ignore"):
-                    scores = np.einsum("nd,d->n", own[near], queries[q])
-                every = [(-s, i) for s, p in zip(scores.tolist(), near.tolist(), strict=True) for i in ids[starts[p] : starts[p + 1]].tolist() if i != query_id]
-                out += [(int(query_id), i, -s) for s, i in sorted(every)[:k]]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        keys = batch[[*KEY, "kind"]].to_numpy()
+        cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if not batch["kind"].iloc[start]:
+                shard = LoadedShard(batch.iloc[start], degree)
+                continue
+            for at in range(start, end, block):
+                part = batch.iloc[at : min(at + block, end)]
+                found = shard.answers(part["query_id"].astype("int64").to_list(), np.stack(part["query"].to_numpy()).astype(np.float64), k, width)
+                yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
 
 def nearest(
@@ -256,6 +276,7 @@ def nearest(
     degree: int = 16,
     width: int = 96,
     block: int = 512,
+    copies: int = 2,
 ) -> DataFrame:
     """The `k` rows of `vectors` with the largest inner product found for each query, the query's own id apart.
 
@@ -264,20 +285,18 @@ def nearest(
     without id, take no part; only vectors of equal dimension meet. Repeated rows count once; an id with
     several vectors is a candidate with each of them and a query with the smallest. Components of any finite size
     are in range; a product beyond the doubles is infinite. Empty tables give no rows.
-    Queries travel in blocks of about `block`, once to each shard; a shard's answer is at most k rows each.
+    A shard goes to `copies` tasks, once to each, and the queries are dealt between these; a task holds one shard
+    and searches `block` queries at a time. A shard's answer is at most k rows each.
     """
     require_columns(vectors, vec_id, embedding)
     index, places = build_index(vectors, k, vec_id, embedding, shard_rows, most_shard_rows, degree=degree)
     asked = queries.where(F.col(vec_id).isNotNull() & usable(F.col(embedding))).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v"))
     asked = asked.groupBy("id").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-asked.count() // block))
-    packed = (
-        asked.withColumn("dim", F.size("v"))
-        .groupBy("dim", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-        .agg(F.collect_list(F.struct("id", "v")).alias("q"))
-        .select("dim", F.col("q.id").alias("query_ids"), F.flatten("q.v").alias("query_vectors"))
-    )
-    met = index.join(packed.join(F.broadcast(places), "dim"), ["dim", "band", "shard"])
-    found = met.mapInPandas(lambda batches: _search(batches, k, width, degree), "query_id long, vec_id long, score double")
+    # a row per shard
+    sent = asked.withColumns({"dim": F.size("v"), "copy": F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int"), "kind": F.lit(1)}).join(small(checkpointed(places), 3), "dim")
+    sent = sent.select(*KEY, "kind", F.col("id").alias("query_id"), F.col("v").alias("query"))
+    loaded = index.withColumns({"copy": F.explode(F.array(*map(F.lit, range(copies)))), "kind": F.lit(0)})
+    dealt = loaded.unionByName(sent, allowMissingColumns=True).repartition(*KEY).sortWithinPartitions(*KEY, "kind")
+    found = dealt.mapInPandas(lambda batches: _search(batches, k, width, degree, block), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
