@@ -9,7 +9,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, require_columns
+from .common import MOST_BROADCAST, ROW_BYTES, checkpointed, require_columns, small
 
 #: As many masks as a window may need; MOST_SPAN is the longest window whose masks are found by enumeration.
 MOST_MASKS, MOST_SPAN = 5, 16
@@ -43,21 +43,32 @@ def token_hashes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
 
 
-def _seeds(rows: DataFrame, hashes: str, span: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """A row per position and mask, with `at` and the `seed` of the tokens that the mask takes; `span` tells windows of other lengths apart."""
-    places = F.size(hashes) - min(m[-1] for m in masks)
+Mask = tuple[int, tuple[int, ...]]
+
+
+def _seeds(rows: DataFrame, hashes: str, masks: list[Mask]) -> DataFrame:
+    """A row per position and mask (span, places), with `at`, the mask's `span` and the `seed` of the tokens that it takes.
+
+    All masks are laid on a text in one pass, whatever the lengths of the windows that they are for.
+    """
+    places = F.size(hashes) - min(m[-1] for _, m in masks)
     placed = rows.withColumn("__n", F.explode(F.when(places > 0, F.sequence(F.lit(0), places * len(masks) - 1))))
     placed = placed.withColumn("at", F.floor(F.col("__n") / len(masks)).cast("int")).withColumn("__m", F.col("__n") % len(masks))
 
-    def offset(i: int) -> Column:
-        out = F.lit(masks[-1][i])
+    def by_mask(values: list) -> Column:
+        if len(set(values)) == 1:
+            return F.lit(values[0])
+        out = F.lit(values[-1])
         for m in range(len(masks) - 2, -1, -1):
-            out = F.when(F.col("__m") == m, masks[m][i]).otherwise(out)
+            out = F.when(F.col("__m") == m, F.lit(values[m])).otherwise(out)
         return out
 
-    placed = placed.where(F.col("at") + offset(-1) < F.size(hashes))
-    taken = [F.get(hashes, F.col("at") + offset(i)) for i in range(len(masks[0]))]
-    return placed.withColumn("seed", F.xxhash64(F.col("__m") + 100 * span, *taken)).drop("__n", "__m")
+    placed = placed.where(F.col("at") + by_mask([m[-1] for _, m in masks]) < F.size(hashes))
+    most = max(len(m) for _, m in masks)
+    # a mask of fewer places takes nulls, which hash to nothing; its number tells it from others
+    taken = [F.get(hashes, F.col("at") + by_mask([m[i] if i < len(m) else None for _, m in masks])) for i in range(most)]
+    numbers = [100 * span + [m for s, m in masks if s == span].index(mask) for span, mask in masks]
+    return placed.withColumn("span", by_mask([span for span, _ in masks])).withColumn("seed", F.xxhash64(by_mask(numbers), *taken)).drop("__n", "__m")
 
 
 def find_overlaps(
@@ -70,7 +81,8 @@ def find_overlaps(
     least_tokens: int = 13,
     similarity: float = 0.8,
     around: int = 32,
-    max_broadcast: int = 400_000,
+    shortest_item: int = 1,
+    most: int = MOST_BROADCAST,
 ) -> DataFrame:
     """(doc_id, item_id, n_hits, matched_tokens, doc_token): documents that hold text of benchmark items.
 
@@ -80,34 +92,30 @@ def find_overlaps(
     consecutive places (all of a shorter item) agree in at least the share `similarity`. n_hits counts
     verified alignments, matched_tokens the most agreeing places of one, doc_token where the first starts.
 
-    Items of fewer than `least_tokens` tokens have masks of their own length; items without tokens,
-    null texts and empty tables give no rows. Repeated rows of one doc_id or item_id count together; null ids
+    Items of fewer than `least_tokens` tokens have masks of their own length; items of fewer than `shortest_item`
+    tokens are left out, as a text may hold a word or two of anything. Items without tokens, null texts and
+    empty tables give no rows. Repeated rows of one doc_id or item_id count together; null ids
     match as a value of their own. The benchmark's seeds and the documents with hits are broadcast up to
-    `max_broadcast` rows and joined by shuffling beyond, with equal results.
+    `most` bytes and joined by shuffling beyond, with equal results.
     """
     require_columns(docs, doc_id, text)
     require_columns(benchmark, item_id, item_text)
     items = benchmark.select(F.col(item_id).alias("item_id"), F.regexp_extract_all(F.lower(F.coalesce(item_text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words"))
-    items = checkpointed(items.select("item_id", F.xxhash64("words").alias("item_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") > 0).distinct())
+    items = checkpointed(items.select("item_id", F.xxhash64("words").alias("item_key"), F.transform("words", lambda w: F.xxhash64(w)).alias("item")).where(F.size("item") >= max(1, shortest_item)).distinct())
     # each item is seeded by the window that the check needs; there are `least_tokens` such lengths at most
     spans = sorted(r[0] for r in items.select(F.least(F.lit(least_tokens), F.size("item"))).distinct().collect())
     source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     hashed = source.select("doc_id", "th", token_hashes(F.col("text")).alias("own"))
-    hits = None
-    for span in spans or [least_tokens]:
-        masks = masks_for(span, span - ceil(span * similarity - 1e-9))
-        seeded = _seeds(items.where(F.size("item") >= span if span == least_tokens else F.size("item") == span), "item", span, masks)
-        seeded = checkpointed(seeded.select("seed", "item_id", "item_key", F.col("at").alias("item_at")))
-        if seeded.count() <= max_broadcast:
-            seeded = F.broadcast(seeded)
-        met = _seeds(hashed, "own", span, masks).select("doc_id", "th", "at", "seed").join(seeded, "seed")
-        hits = met if hits is None else hits.unionByName(met)
+    masks = [(span, m) for span in spans or [least_tokens] for m in masks_for(span, span - ceil(span * similarity - 1e-9))]
+    seeded = _seeds(items.withColumn("own_span", F.least(F.lit(least_tokens), F.size("item"))), "item", masks).where("span = own_span")
+    seeded = checkpointed(seeded.select("seed", "item_id", "item_key", F.col("at").alias("item_at")))
+    hits = _seeds(hashed, "own", masks).select("doc_id", "th", "at", "seed").join(small(seeded, 4, most), "seed")
     spots = checkpointed(
         hits.groupBy("doc_id", "th", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"))
     )
     # the hits' documents are tokenised again for the tokens beside each item
     asked = spots.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list(F.struct("item_id", "item_key", "diagonal", "first", "last")).alias("spots"))
-    asked = F.broadcast(asked) if spots.count() <= max_broadcast else asked
+    asked = F.broadcast(asked) if spots.count() * 7 * ROW_BYTES <= most else asked
     again = source.join(asked, source.doc_id.eqNullSafe(asked["__id"]) & (source.th == asked["__th"])).select("doc_id", token_hashes(F.col("text")).alias("own"), "spots")
     placed = again.select("doc_id", F.explode(F.transform("spots", lambda s: F.struct(*_beside(s, around, least_tokens)))).alias("s")).select("doc_id", "s.*")
     both = placed.join(items, placed.item_key.eqNullSafe(items.item_key) & placed.item_id.eqNullSafe(items.item_id)).select(
@@ -129,13 +137,13 @@ def _beside(spot: Column, around: int, longest: int) -> list[Column]:
     return [spot["item_id"].alias("item_id"), spot["item_key"].alias("item_key"), item_start.alias("item_start"), start.alias("start"), part.alias("part")]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", max_broadcast_ids: int = 200_000, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", shortest_item: int = 5, most: int = MOST_BROADCAST, **options) -> DataFrame:
     """Keep the documents without benchmark text, with all their columns.
 
-    All rows of a contaminated doc_id go; rows with a null id are judged together. Ids to drop are broadcast up
-    to `max_broadcast_ids` rows and joined by shuffling beyond.
+    Items of fewer than `shortest_item` tokens contaminate nothing: else a benchmark item of one word would empty the
+    corpus. All rows of a contaminated doc_id go; rows with a null id are judged together. Ids to drop are broadcast
+    up to `most` bytes and joined by shuffling beyond.
     """
-    bad = checkpointed(find_overlaps(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("__bad")).distinct())
-    if bad.count() <= max_broadcast_ids:
-        bad = F.broadcast(bad)
+    found = find_overlaps(docs, benchmark, doc_id, text, shortest_item=shortest_item, most=most, **options)
+    bad = small(checkpointed(found.select(F.col("doc_id").alias("__bad")).distinct()), most=most)
     return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")

@@ -179,9 +179,13 @@ def test_decontamination(spark, docs, awkward, sf_dir):
                 if any(sum(same[s : s + need]) >= -(-need * 8 // 10) for s in range(len(v) - need + 1)):
                     want.add((r["doc_id"], item))
     for limit in (400_000, 0):
-        got = {(r["doc_id"], r["item_id"]) for r in spaced_seeds.find_overlaps(frame, items, max_broadcast=limit).collect()}
+        got = {(r["doc_id"], r["item_id"]) for r in spaced_seeds.find_overlaps(frame, items, most=limit).collect()}
         assert got == want and {d for d, _ in got} >= {d for d, _ in planted}
     left = spaced_seeds.drop_contaminated(frame, items)
+    word = spark.createDataFrame([(1, "the"), (2, "w1 w2 w3 w4")], "item_id long, text string")
+    some = spark.createDataFrame([(1, "all the others"), (2, "x w1 w2 w3 w4 y")], "doc_id long, text string")
+    assert spaced_seeds.drop_contaminated(some, word).count() == 2 and spaced_seeds.drop_contaminated(some, word, shortest_item=2).count() == 1
+    assert {tuple(r)[:2] for r in spaced_seeds.find_overlaps(some, word).collect()} == {(1, 1), (2, 2)}
     assert {r["doc_id"] for r in left.select("doc_id").distinct().collect()} == {r["doc_id"] for r in frame.select("doc_id").distinct().collect()} - {d for d, _ in want}
     short = spark.createDataFrame([(1, "alpha beta gamma"), (2, None), (3, "")], "item_id long, text string")
     hit = spark.createDataFrame([(5, "we say alpha BETA, gamma here"), (6, "alpha beta")], "doc_id long, text string")
