@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import pre_tokenizers
+from tokenizers import Regex, pre_tokenizers
 
 from .common import require_columns
 
@@ -24,6 +25,46 @@ UNMERGED = 1 << 60
 SOLID = regex.compile(r"\S+")
 
 
+@lru_cache(maxsize=1)
+def differing_letters() -> dict[str, tuple[str, str]]:
+    """For the classes L, N and s: what the tokenizers library's tables have beyond those of `regex`, and what they lack, as ranges for a set."""
+    # there are none in the planes beyond
+    every = "".join(chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000)
+
+    def ranges(chars: set[str]) -> str:
+        out: list[list[int]] = []
+        for c in sorted(map(ord, chars)):
+            if out and out[-1][1] == c - 1:
+                out[-1][1] = c
+            else:
+                out.append([c, c])
+        return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in out)
+
+    found = {}
+    for name, pattern in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
+        theirs = {c for piece, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every) for c in piece}
+        own = set(regex.findall(pattern, every))
+        found[name] = ranges(theirs - own), ranges(own - theirs)
+    return found
+
+
+def library_pattern(pattern: str) -> tuple[regex.Pattern, regex.Pattern | None]:
+    """`pattern`, whose sets are of L, N and white space, with the library's classes; and one that finds characters for which it matters."""
+    odd = differing_letters()
+    if not any(x for pair in odd.values() for x in pair):
+        return regex.compile(pattern), None
+
+    def own(name: str, plain: str) -> str:
+        more, less = odd[name]
+        base = f"[{plain}--[{less}]]" if less else f"[{plain}]"
+        return f"[{base}||[{more}]]" if more else base
+
+    sets = {r"\p{L}": own("L", r"\p{L}"), r"\p{N}": own("N", r"\p{N}"), r"\s": own("s", r"\s")}
+    for plain, careful in sets.items():
+        pattern = pattern.replace(plain, careful)
+    return regex.compile(pattern, regex.V1), regex.compile("[" + "".join(x for pair in odd.values() for x in pair) + "]")
+
+
 class PrefixCounter:
     """Exact counts of a word-final BPE vocabulary (a tokenizers .json with NFC, white-space and lower-case normalizers).
 
@@ -44,6 +85,7 @@ class PrefixCounter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words_re = regex.compile(next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"])
+        self.careful_re, self.odd_re = library_pattern(self.words_re.pattern)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_chars: dict[str, str] = {}
         self._level = level
@@ -147,6 +189,13 @@ class PrefixCounter:
             out.append(self._step(text, end, inner, END)[1])
         return out
 
+    def _splitter(self, low: str) -> regex.Pattern:
+        """The pattern of pre-tokens; with the library's own letters where `low` has one that other tables know otherwise."""
+        return self.words_re if self.odd_re is None or low.isascii() or not self.odd_re.search(low) else self.careful_re
+
+    def _split(self, low: str) -> list[str]:
+        return self._splitter(low).findall(low)
+
     def pieces(self, text: str) -> Iterator[tuple[str, bool, int]]:
         """Plain stretches and special tokens of a text, with where they start."""
         at = 0
@@ -178,7 +227,7 @@ class PrefixCounter:
                 ends.append(at + len(piece))
                 counts.append(1)
             elif len(low) == len(piece) and (piece.isascii() or unicodedata.is_normalized("NFC", piece)):
-                found = list(self.words_re.finditer(low))
+                found = list(self._splitter(low).finditer(low))
                 pieces.append((len(ends), at, low, found))
                 ends += [at + m.end() for m in found]
                 counts += self.word_counts([m[0] for m in found])
@@ -186,14 +235,14 @@ class PrefixCounter:
                 found = list(SOLID.finditer(piece))
                 pieces.append((len(ends), at, None, found))
                 ends += [at + m.end() for m in found]
-                counts += [self.words_total(self.words_re.findall(self.normal(m[0]))) for m in found]
+                counts += [self.words_total(self._split(self.normal(m[0]))) for m in found]
         return np.array(ends, dtype=np.int64), np.cumsum(np.array(counts, dtype=np.int64)), pieces
 
     def count_and_cut(self, text: str, limit: int) -> tuple[int, int]:
         """Tokens of a text, and the length of its longest prefix of at most `limit` tokens, from the counts at its prefixes."""
         if len(text) * 4 <= limit:
             # a byte has one token at most
-            return sum(1 if special else self.words_total(self.words_re.findall(self.normal(piece))) for piece, special, _ in self.pieces(text)), len(text)
+            return sum(1 if special else self.words_total(self._split(self.normal(piece))) for piece, special, _ in self.pieces(text)), len(text)
         ends, upto, pieces = self.units(text)
         total = int(upto[-1]) if upto.size else 0
         if total <= limit:
@@ -211,7 +260,7 @@ class PrefixCounter:
         else:
             # a token is never longer than the longest, so prefixes beyond that many characters are over the limit
             longest = min(len(m[0]), (limit - base) * self.longest + 1)
-            prefixes = [self.words_total(self.words_re.findall(self.normal(m[0][:i]))) for i in range(1, longest + 1)]
+            prefixes = [self.words_total(self._split(self.normal(m[0][:i]))) for i in range(1, longest + 1)]
         return total, best + max((i for i, n in enumerate(prefixes, 1) if base + n <= limit), default=0)
 
     def table(self, text: str) -> np.ndarray:
@@ -236,7 +285,7 @@ class PrefixCounter:
         low = self.normal(text)
         if len(low) == len(text) and unicodedata.is_normalized("NFC", text):
             count = end = 0
-            for m in self.words_re.finditer(low):
+            for m in self._splitter(low).finditer(low):
                 out[end + 1 : m.start() + 1] = count
                 prefixes = self._within(low, m)
                 out[m.start() + 1 : m.end() + 1] = [count + p for p in prefixes]
@@ -248,7 +297,7 @@ class PrefixCounter:
         for m in SOLID.finditer(text):
             out[end + 1 : m.start() + 1] = count
             for i in range(m.start() + 1, m.end() + 1):
-                out[i] = count + sum(map(self.word_total, self.words_re.findall(self.normal(text[m.start() : i]))))
+                out[i] = count + sum(map(self.word_total, self._split(self.normal(text[m.start() : i]))))
             count, end = int(out[m.end()]), m.end()
         out[end + 1 :] = count
         return out
@@ -257,7 +306,7 @@ class PrefixCounter:
         word = m[0]
         if len(word) > 1 and word[0] == "'" and word[1:] in ("s", "t", "re", "ve", "m", "ll", "d"):
             # a shorter prefix is a quote and letters, or another contraction
-            return [sum(map(self.word_total, self.words_re.findall(word[:i]))) for i in range(1, len(word) + 1)]
+            return [sum(map(self.word_total, self._split(word[:i]))) for i in range(1, len(word) + 1)]
         return self.word_prefixes(word)
 
 

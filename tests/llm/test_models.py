@@ -1,13 +1,16 @@
-"""The classifier and the language models against plain versions of their arithmetic."""
+"""The classifier and the language models against plain versions of their arithmetic, and token counts of odd letters."""
 
 import math
+import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from strandframe.llm import gam, langid
+from strandframe.llm import gam, langid, prefix_tokens
 
 
 def plain_tree(g, h, leaves, least, ridge):
@@ -121,3 +124,13 @@ def test_letters_beyond_the_basic_plane_stay_apart():
         assert len({tuple(v) for v in codes.values()}) == len({c.lower() for c in script})
     assert langid.letters("a🙂b").tolist() == [97, 32, 98] and langid.letters("𐐀").tolist() == langid.letters("𐐨").tolist()
     assert not set(langid.letters("".join(gothic)).tolist()) & set(langid.letters("".join(adlam)).tolist())
+
+
+def test_token_counts_of_letters_that_tables_know_otherwise():
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    counter, library, rng = prefix_tokens.PrefixCounter(path), Tokenizer.from_file(path), random.Random(7)
+    pools = [range(0x20, 0x7F), range(0xA0, 0x600), range(0x10000, 0x1FF00), range(0x20000, 0x33FFF), [0x130, 0x18F19, 0x44B, 0x10954, 0x20, 0x27]]
+    texts = ["".join(chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(1, 12))) for _ in range(20_000)] + ["İ𘼙", "ы𐥔"]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [counter.count_and_cut(t, 2048)[0] for t in texts] == want
+    assert all(counter.table(t)[-1] == n for t, n in zip(texts[::40], want[::40]))
