@@ -13,6 +13,8 @@ from ..operators.normalize import split_genotype
 from ..schema import LETTER_CODES, NUMERIC_CODES
 
 PREFIX_LINES = 40
+# The columns of the numeric layout and the fewest comment lines before them.
+NUMERIC_COLUMNS, LEAST_COMMENTS = ("rsid", "chromosome", "position", "allele1", "allele2"), 5
 
 
 class IngestError(ValueError):
@@ -72,12 +74,27 @@ def declared_build(lines: list[str]) -> int | None:
     return found[0] if found else None
 
 
+def check_columns(lines: list[str], layout: Layout) -> None:
+    """Refuse a prefix of the numeric layout without its row of column names, with other columns, or with too few lines before it."""
+    if layout.name != "numeric":
+        return
+    head = next((x for x in lines if x.strip() and not x.startswith("#")), "")
+    names = tuple(x.strip().lower() for x in head.split("\t"))
+    if names[0] != NUMERIC_COLUMNS[0]:
+        raise IngestError("the file has no row of column names")
+    if names != NUMERIC_COLUMNS:
+        raise IngestError(f"the columns are not {', '.join(NUMERIC_COLUMNS)}")
+    if sum(x.startswith("#") for x in lines[: lines.index(head)]) < LEAST_COMMENTS:
+        raise IngestError(f"fewer than {LEAST_COMMENTS} comment lines before the columns: the file's head was cut off")
+
+
 def read_export(spark: SparkSession, path: str) -> tuple[DataFrame, Layout]:
     """Raw rows and layout of an export; other builds than 37 and rows of a wrong field count are refused."""
     lines = read_prefix(spark, path)
     if not lines:
         raise IngestError("the file is empty")
     layout = detect(lines)
+    check_columns(lines, layout)
     if declared_build(lines) != 37:
         raise IngestError(f"build {declared_build(lines)} is not supported")
     raw = layout.read(spark, path)

@@ -11,13 +11,16 @@ from strandframe.sources import bundles, exports, references
 from strandframe.streaming import ingest
 
 
+COLUMNS = "rsid\tchromosome\tposition\tallele1\tallele2"
+
+
 def write(path, lines):
     path.write_text("\n".join(lines) + "\n")
     return str(path)
 
 
 def test_numeric_export(spark, tmp_path):
-    lines = ["#AncestryDNA raw data", "#build 37.1", "rsid\tchromosome\tposition\tallele1\tallele2", "rs1\t23\t100\tG\tA", "rs2\t1\t5\t0\t0"]
+    lines = ["#AncestryDNA raw data", "#build 37.1", "#", "#", "#", "rsid\tchromosome\tposition\tallele1\tallele2", "rs1\t23\t100\tG\tA", "rs2\t1\t5\t0\t0"]
     raw, layout = exports.read_export(spark, write(tmp_path / "a.txt", lines))
     rows = {r["rsid"]: r for r in normalize.normalize(raw, layout.codes).collect()}
     assert (rows["rs1"]["chrom"], rows["rs1"]["genotype"], rows["rs1"]["call_status"]) == ("X", "AG", "called")
@@ -32,7 +35,7 @@ def test_merged_export(spark, tmp_path):
 
 
 @pytest.mark.parametrize(
-    "lines", [["#AncestryDNA", "#build 38", "rs1\t1\t1\tA\tA"], ["nothing"], ["#AncestryDNA", "#build 37", "rs1\t1\t1\tA"], ["#AncestryDNA", "# rsid chromosome position genotype", "#build 37"]]
+    "lines", [["#AncestryDNA", "#build 38", "rs1\t1\t1\tA\tA"], ["nothing"], ["#AncestryDNA", "#build 37", *["#"] * 3, COLUMNS, "rs1\t1\t1\tA"], ["#AncestryDNA", *["#build 37"] * 4, "rs1\t1\t1\tA\tA"], ["#AncestryDNA", "#build 37", COLUMNS, "rs1\t1\t1\tA\tA"], ["#AncestryDNA", *["#build 37"] * 4, COLUMNS.replace("allele2", "b"), "rs1\t1\t1\tA\tA"], ["#AncestryDNA", "# rsid chromosome position genotype", "#build 37"]]
 )
 def test_refused_exports(spark, tmp_path, lines):
     with pytest.raises(exports.IngestError):
