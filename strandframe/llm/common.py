@@ -125,7 +125,7 @@ STARS = 2
 
 
 def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
-    """(key, h1, n, copies): each h1 of `rows` (h1, n, ...) under those of its `picks`, an array of longs, that another h1 has, too.
+    """(key, h1, n, copies, lines): each h1 of `rows` (h1, n, ...) under those of its `picks`, an array of longs, that another h1 has, too; lines counts a key's.
 
     A pick that more than `crowd` rows have is no key by itself but together with each other pick of a row: what
     many different rows have in common makes no large bucket unless they have more in common. Two rows alone under a key
@@ -141,7 +141,9 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, m
     met = picked.select("h1", "n", "picks", F.explode("picks").alias("key")).join(small(shared, 2, most), "key")
     finer = F.transform(F.array_except("picks", F.array("key")), lambda other: F.xxhash64(F.least(other, F.col("key")), F.greatest(other, F.col("key"))))
     keys = F.when(F.col("crowded"), finer).otherwise(F.array("key"))
-    return stored(met.select("h1", "n", F.explode(keys).alias("key")).groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
+    members = stored(met.select("h1", "n", F.explode(keys).alias("key")).groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
+    several = stored(members.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
+    return stored(members.join(small(several, 2, most), "key"))
 
 
 def pair_ends(pairs: DataFrame) -> DataFrame:

@@ -193,8 +193,7 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
     """
     texts = stored(prints.groupBy("th").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch")).select(F.col("th").alias("h1"), F.lit(0).alias("n"), "fp", "sketch"))
     members = shared_keys(texts, F.col("sketch"), CROWD, similarity, most)
-    sizes = members.groupBy("key").agg(F.count("*").alias("lines"))
-    rows = stored(members.join(texts.select("h1", "fp"), "h1").join(sizes, "key"))
+    rows = stored(members.join(texts.select("h1", "fp"), "h1"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = small(stored(pair_ends(pairs).distinct()), most=most)
