@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.alleles import complement, is_indel, is_palindromic, strand_canonical
+from ..functions.once import computed_once
 from ..schema import dimension
 from .keys import LOCUS
 
@@ -26,7 +27,7 @@ def resolve_probes(rows: DataFrame, order: list[str]) -> DataFrame:
     literal = is_palindromic(F.substring("genotype", 1, 1), F.substring("genotype", 2, 1))
     compared = F.when(called, F.when(literal, F.col("genotype")).otherwise(strand_canonical(F.col("genotype"))))
     row = F.struct(*order, "rsid", "allele1", "allele2", "genotype", "call_status")
-    grouped = rows.withColumn("__c", compared).groupBy(*LOCUS).agg(
+    grouped = computed_once(rows, {"__c": compared}).groupBy(*LOCUS).agg(
         F.count("*").alias("n_probes"), F.count_if(called).alias("n_called"), F.min("__c").alias("lo"), F.max("__c").alias("hi"), F.min(F.when(called, row)).alias("first_called"), F.min(row).alias("first_row")
     )
     first = F.coalesce("first_called", "first_row")
