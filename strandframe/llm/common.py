@@ -120,16 +120,16 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         seen = now
 
 
-#: Further comparisons of each row with one row, before rows of different groups are compared with each other.
-STARS = 2
+#: Further comparisons of each row of a bucket of HEAVY times the usual size with one row, before rows of different groups are compared with each other.
+STARS, HEAVY = 2, 8
 
 
-def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
+def shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
     """(key, h1, n, copies, lines): each h1 of `rows` (h1, n, ...) under those of its `picks`, an array of longs, that another h1 has, too; lines counts a key's.
 
-    A pick that more than `crowd` rows have is no key by itself but together with each other pick of a row: what
-    many different rows have in common makes no large bucket unless they have more in common. Two rows alone under a key
-    whose sizes n differ by more than `similarity` allows are left out.
+    Two rows alone under a key whose sizes n differ by more than `similarity` allows are left out. With a `crowd`, a pick of
+    more rows than that is no key by itself but together with each other pick of a row, so that pairs which share
+    nothing else are lost; the operators give None, which keeps every pick, and have large buckets cut without loss.
     """
     picked = rows.select("h1", "n", picks.alias("picks"))
     keyed = picked.select("h1", "n", F.explode("picks").alias("key"))
@@ -137,27 +137,51 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int, similarity: float, m
     mixed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("h1").bitwiseAND(F.lit(0xFFFFFFFF)))
     shared = keyed.select("key", mixed.alias("row")).groupBy("key").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("*").alias("rows"))
     fits = (F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (F.shiftright("hi", 32) * similarity <= F.shiftright("lo", 32) + 1e-9))
-    shared = stored(shared.where(fits).select("key", (F.col("rows") > crowd).alias("crowded")))
-    met = picked.select("h1", "n", "picks", F.explode("picks").alias("key")).join(small(shared, 2, most), "key")
-    finer = F.transform(F.array_except("picks", F.array("key")), lambda other: F.xxhash64(F.least(other, F.col("key")), F.greatest(other, F.col("key"))))
-    keys = F.when(F.col("crowded"), finer).otherwise(F.array("key"))
-    members = stored(met.select("h1", "n", F.explode(keys).alias("key")).groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
+    shared = shared.where(fits)
+    if crowd is None:
+        met = keyed.join(small(stored(shared.select("key")), most=most), "key")
+    else:
+        shared = stored(shared.select("key", (F.col("rows") > crowd).alias("crowded")))
+        met = picked.select("h1", "n", "picks", F.explode("picks").alias("key")).join(small(shared, 2, most), "key")
+        finer = F.transform(F.array_except("picks", F.array("key")), lambda other: F.xxhash64(F.least(other, F.col("key")), F.greatest(other, F.col("key"))))
+        met = met.select("h1", "n", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key"))).alias("key"))
+    members = stored(met.groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
     several = stored(members.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
     return stored(members.join(small(several, 2, most), "key"))
 
 
+def rarest_tokens(tokens: DataFrame, first: Column) -> DataFrame:
+    """(h1, token): the `first` so many, a column over size n, of each row's `tokens` (h1, n, token), the rarest first.
+
+    If of two rows all but k - 1 tokens of each are tokens of the other, they share one of the k that come first in any
+    order that is the same for both: none before the first common one is common. Tokens of one row alone are left out.
+    """
+    rated = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("rows")), "token")
+    ranked = rated.groupBy("h1", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("all"))
+    return ranked.select("h1", F.explode(F.slice("all", F.lit(1), first)).alias("t")).where("t.rows > 1").select("h1", "t.token")
+
+
+def cut_by_tokens(rows: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked, indexed): rows of large buckets keyed by a token of `prefixes` (h1, token) too; only those outside their bucket's largest group ask.
+
+    Of a pair in different groups at least one does.
+    """
+    indexed = stored(rows.join(prefixes, "h1").withColumn("key", F.xxhash64("key", "token")).drop("token"))
+    return indexed.where("root <> main"), indexed
+
+
 def pair_ends(pairs: DataFrame) -> DataFrame:
     """(h1): both ends of pairs (a, b)."""
     return pairs.select(F.explode(F.array("a", "b")).alias("h1"))
 
 
-def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFrame], DataFrame], bucket_rows: int, cut: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFrame], DataFrame], bucket_rows: int, cut: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
     """(node, component): the groups that verified pairs of `members` (key, h1, fp, n, copies, lines) connect; all pairs of a bucket are possible.
 
-    Each row of a bucket is first compared with its most frequent one, then with the most frequent one that is
-    in another group than most, and only what is in different groups after that with each other: groups of near
-    copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b, b_n, b_fp) must pass before
-    `verified` reads more. Buckets of more than `bucket_rows` go through `cut` for it, which keys rows more finely.
+    Each row of a bucket is first compared with its most frequent one, and after that only what is in different
+    groups with each other: groups of near copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b,
+    b_n, b_fp) must pass before `verified` reads more. Buckets of more than `bucket_rows` go through `cut` for it, which keys
+    rows more finely, without loss; those that stay much larger are compared with a most frequent row of their own, again.
     """
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -171,16 +195,23 @@ def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFra
     alone = members.withColumn("root", F.col("h1"))
     grouped = stored(connected_components(checked(star(alone, alone))))
     rest = _mixed(members, grouped)
-    for _ in range(STARS):
-        links = checked(star(rest, rest.where("root <> main")))
-        if links.isEmpty():
-            break
-        grouped = _joined_groups(grouped, links)
-        rest = _mixed(members, grouped)
-    small, large = (rest, rest.limit(0)) if cut is None else (rest.where(F.col("lines") <= bucket_rows), rest.where(F.col("lines") > bucket_rows))
-    pairs = stored(_bucket_pairs(small.where("root <> main"), small, alike))
-    if cut is not None and not large.isEmpty():
-        pairs = pairs.unionByName(_bucket_pairs(*cut(large), alike))
+    large = rest.where(F.col("lines") > bucket_rows)
+    pairs = stored(_bucket_pairs(rest.where((F.col("lines") <= bucket_rows) & (F.col("root") != F.col("main"))), rest.where(F.col("lines") <= bucket_rows), alike))
+    if not large.isEmpty():
+        asked, indexed = cut(large)
+        heavy = indexed.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > bucket_rows * HEAVY)
+        rows = stored(indexed.drop("root", "main", "lines").join(heavy, "key"))
+        light = [x.join(heavy, "key", "left_anti") for x in (asked, indexed)]
+        pairs = pairs.unionByName(_bucket_pairs(*light, alike))
+        if not rows.isEmpty():
+            rooted = _mixed(rows, grouped)
+            for _ in range(STARS):
+                links = checked(star(rooted, rooted.where("root <> main")))
+                if links.isEmpty():
+                    break
+                grouped = _joined_groups(grouped, links)
+                rooted = _mixed(rows, grouped)
+            pairs = pairs.unionByName(_bucket_pairs(rooted.where("root <> main"), rooted, alike))
     more = checked(pairs)
     return grouped if more.isEmpty() else _joined_groups(grouped, more)
 

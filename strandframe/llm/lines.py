@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, ROW_BYTES, bucket_groups, require_columns, scratch_tables, shared_keys, small, stored
+from .common import MOST_BROADCAST, ROW_BYTES, bucket_groups, cut_by_tokens, rarest_tokens, require_columns, scratch_tables, shared_keys, small, stored
 
-#: A line is keyed by PICKS of its blocks; a block of more than CROWD lines only together with another. Pairs may differ in APART of 64 fingerprint bits.
-PICKS, CROWD, APART = 8, 32, 20
+#: A line is keyed by PICKS of its blocks. Pairs may differ in APART of 64 fingerprint bits.
+PICKS, APART = 8, 20
 #: Words of a block, by the least number of words of a line; two lines on both sides of a limit have blocks of both kinds.
 WIDTHS = {2: 0, 3: 6, 4: 20}
-#: Larger buckets are cut by runs of words before their lines are compared with each other.
-BUCKET_LINES = 32
+#: A block of more lines is crowded: its lines are dealt by their rarest words before they are compared with each other.
+CROWD = BUCKET_LINES = 32
 #: Four counters 16 bits apart in a long for lines of up to NARROW different words, two 32 bits apart for longer ones.
 #: The highest bit of each counter stays free, and with it the sign.
 SUMS, NARROW = 16, (1 << 14) - 1
@@ -109,51 +109,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(ends[0], "a").join(ends[1], "b").where(_similar(similarity)).select("a", "b")
 
 
-def _every_run(words: int) -> Column:
-    """The hashes of all runs of so many words of `n` coded words `c`."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - words + 1)), lambda i: F.xxhash64(F.slice("c", i, F.lit(words))))
+def _runs(rows: DataFrame, texts: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(asked, indexed): rows of the same columns keyed by one of their rarest words too, such that similar lines of a bucket share one.
 
-
-def _runs(rows: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, indexed): rows of the same columns keyed by a run of words too, such that similar lines of a bucket share one.
-
-    Two lines of edit similarity 0.8 or more differ in at most a quarter of either's n words, so that of n // 4 + 1
-    pieces of one line one lies unchanged in the other. Pieces are indexed by their first three words (two for
-    lines under 12 words). Only lines outside their bucket's largest group ask, for each run of their own: of a
-    pair in different groups at least one does.
+    Lines of n words with partners of up to n / `similarity` words differ from them in at most e words, repeats counted,
+    so that they share one of their e + 1 rarest ones, whichever way words are counted.
     """
-    worded = rows.join(texts.select("h1", F.split("one", "").alias("c")), "h1")
-    parts = F.floor(F.col("n") / 4) + 1
-    width = F.when(F.col("n") < 12, 2).otherwise(3)
-    piece = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.slice("c", F.floor(i * F.col("n") / parts).cast("int") + 1, width))
-    indexed = worded.withColumn("run", F.explode(F.array_distinct(F.transform(piece, lambda p: F.xxhash64(p)))))
-    # only lines of 10 to 14 words have partners on both sides of 12
-    runs = F.when(F.col("n") < 10, _every_run(2)).when(F.col("n") < 15, F.concat(_every_run(2), _every_run(3))).otherwise(_every_run(3))
-    asked = worded.where("root <> main").withColumn("run", F.explode(F.array_distinct(runs)))
-    return asked.withColumn("key", F.xxhash64("key", "run")).drop("c", "run"), indexed.withColumn("key", F.xxhash64("key", "run")).drop("c", "run")
+    coded = texts.join(rows.select("h1", "n").distinct(), "h1").select("h1", "n", F.explode(F.split("one", "")).alias("word"))
+    counted = coded.groupBy("h1", "n", "word").agg(F.count("*").cast("int").alias("times"))
+    tokens = stored(counted.select("h1", "n", F.explode(F.sequence(F.lit(1), "times")).alias("time"), "word").select("h1", "n", F.xxhash64("word", "time").alias("token")))
+    edits = F.floor(F.floor(F.col("n") / similarity + 1e-9) * (1 - similarity) + 1e-9).cast("int")
+    return cut_by_tokens(rows, rarest_tokens(tokens, edits + 1))
 
 
 def fuzzy_groups(lines: DataFrame, similarity: float = 0.8, most: int = MOST_BROADCAST) -> DataFrame:
     """(node, component): the connected groups of similar lines (h1, n, c, picks): a hash of a line's words, their number and codes, and its blocks().
 
     Lines meet by shared blocks, as shared_keys() says. Those that do get a SimHash and are compared as
-    bucket_groups() says, large buckets cut by runs of words. Nothing is capped.
+    bucket_groups() says, crowded blocks cut by rare words. Nothing is capped: all pairs under a block are found.
     """
     # a line of n words has a partner only if a longer one, up to n / similarity words, may differ in a word
     able = lines.where(F.floor(F.floor(F.col("n") / similarity + 1e-9) * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)) > 0).select("h1", "n", "c", "picks")
-    members = shared_keys(able, F.col("picks"), CROWD, similarity, most)
+    members = shared_keys(able, F.col("picks"), None, similarity, most)
     wanted = stored(members.select("h1").distinct())
     coded = stored(able.drop("picks").join(small(wanted, most=most), "h1", "left_semi").dropDuplicates(["h1"]))
     prints = stored(simhashed(coded, ["h1"], "c").groupBy("h1").agg(F.bit_or("fp").alias("fp")))
     texts = stored(coded.select("h1", code_text(F.col("c"), 0).alias("one"), code_text(F.col("c"), 12).alias("two")))
     rows = stored(members.join(prints, "h1"))
-    return bucket_groups(rows, _alike(similarity), lambda pairs: _verified(pairs, texts, similarity), BUCKET_LINES, lambda large: _runs(large, texts))
+    return bucket_groups(rows, _alike(similarity), lambda pairs: _verified(pairs, texts, similarity), BUCKET_LINES, lambda large: _runs(large, texts, similarity))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, separator: str = "\n") -> DataFrame:
     """(doc_id, th, pos, words): a row per line, empty lines too; th is the text's hash."""
     source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    return source.select("doc_id", "th", F.posexplode(F.split("text", separator)).alias("pos", "line")).select("doc_id", "th", "pos", normalised(F.col("line")).alias("words"))
+    # made before the explode, below which no filter on them can move and make them twice
+    return source.select("doc_id", "th", F.posexplode(F.transform(F.split("text", separator), normalised)).alias("pos", "words"))
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, most: int = MOST_BROADCAST) -> DataFrame:

@@ -149,6 +149,32 @@ def test_crowded_blocks(spark, vocabulary, monkeypatch):
     assert members.groupBy("key").count().where("count > 20").count() == 0
 
 
+def test_similar_lines_that_share_a_crowded_block_alone(spark, vocabulary):
+    # nothing else brings these two together, and more lines than CROWD have the block too
+    rng = random.Random(4)
+    run = ["see", "also", "the", "page"]
+    fresh = lambda k: [f"{rng.choice(vocabulary)}{rng.randrange(10**6)}" for _ in range(k)]
+    pairs = []
+    for _ in range(600):
+        a = [*fresh(10), *run, *fresh(10)]
+        b = list(a)
+        for k in rng.sample([*range(10), *range(14, 24)], 4):
+            b[k] = f"new{rng.randrange(10**6)}"
+        pairs.append((a, b))
+    others = [[*fresh(10), *run, *fresh(10)] for _ in range(600)]
+    keys = {k: v for k, v in keys_of(spark, [x for p in pairs for x in p] + others).items()}
+    counts = {}
+    for w in others:
+        for k in keys[tuple(w)]:
+            counts[k] = counts.get(k, 0) + 1
+    common_key = max(counts, key=counts.get)
+    crowd = [w for w in others if common_key in keys[tuple(w)]][: 2 * lines.CROWD]
+    a, b = next((a, b) for a, b in pairs if keys[tuple(a)] & keys[tuple(b)] == {common_key} and linked(a, b, keys))
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([a, b, *crowd])], "doc_id long, text string")
+    assert len(crowd) > lines.CROWD
+    assert [r["doc_id"] for r in lines.dedup_lines(frame).where("text = ''").collect()] == [1]
+
+
 def test_permutations_and_repeated_rows(spark, vocabulary):
     # one fingerprint, no similar pair among nearly all: no line may go, and no pair of them all may be made
     rng = random.Random(8)
