@@ -10,16 +10,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, bucket_groups, checkpointed, connected_components, pair_ends, require_columns, scratch_tables, shared_keys, small, stored
+from .common import MOST_BROADCAST, bucket_groups, checkpointed, connected_components, cut_by_tokens, pair_ends, rarest_tokens, require_columns, scratch_tables, shared_keys, small, stored
 
 #: A bucket of more candidate pairs than this is cut further by the bits that it does not share yet.
 BUCKET_PAIRS = 65_536
-#: A bucket of more texts that may be similar is cut by a second hash.
+#: A bucket of more texts that may be similar is cut by their rarest shingles.
 BUCKET_TEXTS = 64
 
 
-#: Near-duplicates by shingle sets meet under PICKS, their smallest shingle hashes; one of more than CROWD texts counts only together with another.
-PICKS, CROWD = 8, 64
+#: Near-duplicates by shingle sets meet under PICKS, their smallest shingle hashes.
+PICKS = 8
 #: Similar sets' fingerprints differ in fewer bits than this, at a similarity of 0.8 in 10 on average.
 APART = 22
 
@@ -189,24 +189,26 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
 
     `prints` has th, fp and sketch. Candidates share one of the smallest hashes of their shingles, as
     shared_keys() keys them, and differ in at most APART bits of their fingerprints; each is checked by its
-    whole sets. Sets that share 0.8 of their union have fewer than two of 8 picks in common with a chance of 0.0001.
+    whole sets. All pairs of a bucket are found: large ones are cut by rare shingles, of which such pairs share one.
     """
     texts = stored(prints.groupBy("th").agg(F.min("fp").alias("fp"), F.first("sketch").alias("sketch")).select(F.col("th").alias("h1"), F.lit(0).alias("n"), "fp", "sketch"))
-    members = shared_keys(texts, F.col("sketch"), CROWD, similarity, most)
+    members = shared_keys(texts, F.col("sketch"), None, similarity, most)
     rows = stored(members.join(texts.select("h1", "fp"), "h1"))
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        chosen = docs.select(F.xxhash64("text").alias("h1"), "text").join(small(wanted, most=most), "h1", "left_semi").dropDuplicates(["h1"])
+        return chosen.select("h1", shingles(F.col("text"), words).alias("set"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = small(stored(pair_ends(pairs).distinct()), most=most)
-        sets = docs.select(F.xxhash64("text").alias("h1"), "text").join(wanted, "h1", "left_semi").dropDuplicates(["h1"]).select("h1", shingles(F.col("text"), words).alias("set"))
-        sets = stored(sets)
+        sets = stored(sets_of(stored(pair_ends(pairs).distinct())))
         both = pairs.join(sets.select(F.col("h1").alias("a"), F.col("set").alias("a_set")), "a").join(sets.select(F.col("h1").alias("b"), F.col("set").alias("b_set")), "b")
         common = F.size(F.array_intersect("a_set", "b_set"))
         return both.where(common >= (F.size("a_set") + F.size("b_set") - common) * similarity - 1e-9).select("a", "b")
 
     def cut(large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        again = large.join(texts.select("h1", "sketch"), "h1").withColumn("other", F.explode("sketch")).where("other <> key")
-        finer = stored(again.withColumn("key", F.xxhash64("key", "other")).drop("sketch", "other"))
-        return finer.where("root <> main"), finer
+        # of such sets all but 1 - similarity of one are in the other
+        tokens = sets_of(stored(large.select("h1").distinct())).select("h1", F.size("set").alias("n"), F.explode("set").alias("token"))
+        return cut_by_tokens(large, rarest_tokens(stored(tokens), F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1))
 
     return bucket_groups(rows, F.expr(f"bit_count(a_fp ^ b_fp) <= {APART}"), verified, BUCKET_TEXTS, cut)
 

@@ -1,6 +1,10 @@
 """The pipeline's stages one after the other, over awkward rows beside ordinary ones."""
 
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
+from strandframe.llm import simhash
 from strandframe.llm.common import checkpointed
 
 
@@ -28,3 +32,16 @@ def test_stages_on_awkward_rows(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == clean.select("doc_id").distinct().count() and all(r[1] <= 2048 for r in pieces)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_similar_texts_that_share_a_crowded_hash_alone(spark):
+    # one smallest hash in common, which more texts have than a bucket holds
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.sample(words, 200)
+    texts = [base, [*base[:-1], "other"], *[rng.sample(words, 200) for _ in range(2 * simhash.BUCKET_TEXTS)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sketch = F.array(F.lit(1).cast("long"), *[F.xxhash64("doc_id", F.lit(k)) for k in range(7)])
+    prints = docs.select(F.xxhash64("text").alias("th"), F.lit(0).cast("long").alias("fp"), sketch.alias("sketch"))
+    groups = simhash.similar_groups(docs, prints, 5, 0.8).groupBy("component").count().collect()
+    assert [r["count"] for r in groups] == [2]
