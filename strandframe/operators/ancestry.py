@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pandas as pd
@@ -104,12 +105,8 @@ def _samples(dosages: DataFrame) -> list:
     return [r[0] for r in dosages.select("sample_id").distinct().orderBy("sample_id").collect()]
 
 
-def _positioned_pairs(dosages: DataFrame, window: int, r2: float) -> DataFrame:
-    """(chrom, keep_id, keep_pos, drop_id, drop_pos, r2) of pairs within a window whose squared correlation, to six places, passes `r2`.
-
-    Each site's calls go to two tasks, as bytes: to that of its position bin, as wide as the window, and to that of
-    the bin before. A task multiplies its sites with their neighbours as matrices, some hundred sites at a time.
-    """
+def _site_calls(dosages: DataFrame) -> DataFrame:
+    """(variant_id, chrom, pos_grch37, calls): a row per site, its dosages in order of the samples as bytes, -1 for missing."""
     place = {x: i for i, x in enumerate(_samples(dosages))}
     kind = dosages.schema["variant_id"].dataType.simpleString()
     sites = dosages.groupBy("variant_id", *LOCUS).agg(F.collect_list("sample_id").alias("s"), F.collect_list(F.coalesce("dosage", F.lit(-1)).cast("tinyint")).alias("d"))
@@ -121,40 +118,71 @@ def _positioned_pairs(dosages: DataFrame, window: int, r2: float) -> DataFrame:
                 rows[i, [place[x] for x in ids]] = values
             yield batch[["variant_id", "chrom", "pos_grch37"]].assign(calls=[r.tobytes() for r in rows])
 
-    calls = sites.mapInPandas(packed, f"variant_id {kind}, chrom string, pos_grch37 long, calls binary")
-    own = F.floor(F.col("pos_grch37") / window)
-    dealt = calls.withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    return sites.mapInPandas(packed, f"variant_id {kind}, chrom string, pos_grch37 long, calls binary")
 
-    def correlated(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos_grch37", "variant_id"], ignore_index=True)
-        x = np.stack([np.frombuffer(b, dtype=np.int8) for b in group["calls"]]).astype(np.float64)
-        there = (x >= 0).astype(np.float64)
-        x = x * there
-        pos, left = group["pos_grch37"].to_numpy(), np.flatnonzero((group["own"] == group["bin"]).to_numpy())
-        found = []
-        for start in range(0, len(left), 256):
-            i = left[start : start + 256]
-            n, sx, sy = there[i] @ there.T, x[i] @ there.T, there[i] @ x.T
-            xx, yy, xy = (x[i] * x[i]) @ there.T, there[i] @ (x * x).T, x[i] @ x.T
-            cov, vx, vy = n * xy - sx * sy, n * xx - sx * sx, n * yy - sy * sy
-            near = (np.arange(len(pos)) > i[:, None]) & (pos - pos[i][:, None] <= window) & (vx > 0) & (vy > 0)
-            a, b = np.nonzero(near)
-            rated = cov[a, b] * cov[a, b] / (vx[a, b] * vy[a, b])
-            # rounded later, so a little below the limit may pass
-            keep = rated > r2 - 1e-6
-            found.append((i[a[keep]], b[keep], rated[keep]))
-        a, b, rated = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.array([], int), np.array([], int), np.array([]))
-        ids = group["variant_id"]
-        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "keep_id": ids.iloc[a].to_numpy(), "keep_pos": pos[a], "drop_id": ids.iloc[b].to_numpy(), "drop_pos": pos[b], "r2": rated})
-
-    form = f"chrom string, keep_id {kind}, keep_pos long, drop_id {kind}, drop_pos long, r2 double"
-    pairs = dealt.groupBy("chrom", "bin").applyInPandas(correlated, form)
-    return pairs.withColumn("r2", F.round("r2", 6)).where(F.col("r2") > r2)
+
+#: Cells of the matrices of a task, whatever its number of sites.
+MOST_CELLS = 1 << 18
+
+
+def _correlations() -> tuple[Callable, Callable, Callable]:
+    """(unpacked, rated, passes), made here so that they go to the workers with the tasks, which need not find this package."""
+
+    def unpacked(calls: pd.Series) -> np.ndarray:
+        return np.stack([np.frombuffer(b, dtype=np.int8) for b in calls])
+
+    def rated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The squared correlation of each row of `x` with each of `y` over the calls of both; -1 where one does not vary."""
+        a, b = (x >= 0).astype(np.float64), (y >= 0).astype(np.float64)
+        x, y = x * a, y * b
+        n, sx, sy = a @ b.T, x @ b.T, a @ y.T
+        cov, vx, vy = n * (x @ y.T) - sx * sy, n * ((x * x) @ b.T) - sx * sx, n * (a @ (y * y).T) - sy * sy
+        varies = (vx > 0) & (vy > 0)
+        return np.where(varies, cov * cov / np.where(varies, vx * vy, 1), -1.0)
+
+    def passes(values: np.ndarray, r2: float) -> np.ndarray:
+        """Whether values, rounded to six places as F.round does, are above `r2`."""
+        out = values > r2 + 1e-6
+        for i in np.flatnonzero(~out & (values > r2 - 1e-6)):
+            out[i] = float(Decimal(repr(float(values[i]))).quantize(Decimal("1e-6"), ROUND_HALF_UP)) > r2
+        return out
+
+    return unpacked, rated, passes
 
 
 def linked_pairs(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2) -> DataFrame:
-    """(chrom, keep_id, drop_id, r2): pairs of sites within a window whose squared correlation passes `r2`; missing calls count for neither of a pair."""
-    return _positioned_pairs(dosages, window, r2).select("chrom", "keep_id", "drop_id", "r2")
+    """(chrom, keep_id, drop_id, r2): pairs of sites within a window whose squared correlation passes `r2`; missing calls count for neither of a pair.
+
+    Each site's calls go to two tasks, as bytes: to that of its position bin, as wide as the window, and to that of
+    the bin before. A task multiplies its sites with their neighbours as matrices of MOST_CELLS cells and hands on what it
+    finds in each, so that it holds its sites but never their pairs.
+    """
+    unpacked, rated, _ = _correlations()
+    own = F.floor(F.col("pos_grch37") / window)
+    dealt = _site_calls(dosages).withColumn("own", own).withColumn("bin", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+
+    def correlated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group = pd.concat(list(batches)).sort_values(["pos_grch37", "variant_id"], ignore_index=True)
+        calls, pos, ids, chrom = unpacked(group["calls"]), group["pos_grch37"].to_numpy(), group["variant_id"], group["chrom"].iloc[0]
+        left = np.flatnonzero((group["own"] == group["bin"]).to_numpy())
+        side = max(1, min(256, MOST_CELLS // max(1, calls.shape[1])))
+        across = max(1, min(MOST_CELLS // side, MOST_CELLS // max(1, calls.shape[1])))
+        for start in range(0, len(left), side):
+            i = left[start : start + side]
+            end = np.searchsorted(pos, pos[i[-1]] + window, side="right")
+            for begin in range(i[0] + 1, end, across):
+                j = np.arange(begin, min(begin + across, end))
+                values = rated(calls[i], calls[j])
+                # rounded later, so a little below the limit may pass
+                a, b = np.nonzero((j > i[:, None]) & (pos[j] - pos[i][:, None] <= window) & (values >= 0) & (values > r2 - 1e-6))
+                if len(a):
+                    yield pd.DataFrame({"chrom": chrom, "keep_id": ids.iloc[i[a]].to_numpy(), "drop_id": ids.iloc[j[b]].to_numpy(), "r2": values[a, b]})
+
+    kind = dosages.schema["variant_id"].dataType.simpleString()
+    # applyInPandas reads from these whether the function takes iterators
+    correlated.__annotations__ = {"batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
+    pairs = dealt.groupBy("chrom", "bin").applyInPandas(correlated, f"chrom string, keep_id {kind}, drop_id {kind}, r2 double")
+    return pairs.withColumn("r2", F.round("r2", 6)).where(F.col("r2") > r2)
 
 
 #: Blocks of the greedy walk, in windows.
@@ -164,37 +192,54 @@ WALK_WINDOWS = 16
 def ld_prune(dosages: DataFrame, window: int = LD_WINDOW, r2: float = LD_R2) -> DataFrame:
     """(variant_id): what a greedy walk along each chromosome keeps: a site stays if no kept earlier one is linked to it.
 
-    Blocks of positions are walked at the same time, each given which sites before it went. At first none did; blocks
-    whose sites before turn out otherwise are walked again, until nothing changes. As block after block is final,
-    that ends, mostly after a few rounds: what happened at one end of a block seldom reaches the other.
+    Blocks of positions are walked at the same time, each with the sites of the window before it and given which of
+    those went. At first none did; blocks whose sites before turn out otherwise are walked again, until nothing changes.
+    As block after block is final, that ends, mostly after a few rounds: what happened at one end of a block seldom
+    reaches the other. A site is compared with the kept ones before it, a chunk at a time: no pairs are stored.
     """
+    unpacked, rated, passes = _correlations()
     width = window * WALK_WINDOWS
-    block = lambda pos: F.floor(F.col(pos) / width)
-    links = checkpointed(_positioned_pairs(dosages, window, r2).select("chrom", "keep_id", "drop_id", "drop_pos", block("keep_pos").alias("from"), block("drop_pos").alias("block")))
+    own = F.floor(F.col("pos_grch37") / width)
+    near_next = F.col("pos_grch37") >= (F.col("own") + 1) * width - window
+    calls = _site_calls(dosages).withColumn("own", own)
+    dealt = checkpointed(calls.withColumn("block", F.explode(F.when(near_next, F.array(F.col("own"), F.col("own") + 1)).otherwise(F.array("own")))))
     kind = dosages.schema["variant_id"].dataType.simpleString()
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group, gone = group.sort_values(["drop_pos", "drop_id"]), set(group.loc[group["gone"], "keep_id"])
-        for keep, drop in zip(group["keep_id"], group["drop_id"], strict=True):
-            # links come in order of their later site, so the earlier one is decided
-            if keep not in gone and drop not in gone:
-                gone.add(drop)
-        dropped = [x for x in group["drop_id"].unique() if x in gone]
+        group = group.sort_values(["pos_grch37", "variant_id"], ignore_index=True)
+        calls, pos, ids = unpacked(group["calls"]), group["pos_grch37"].to_numpy(), group["variant_id"].tolist()
+        ours = (group["own"] == group["block"]).to_numpy()
+        gone, kept = set(group.loc[group["gone"], "variant_id"]), []
+        chunk = max(1, MOST_CELLS // max(1, calls.shape[1]))
+        for i, site in enumerate(ids):
+            if site in gone:
+                continue
+            if ours[i]:
+                kept = [k for k in kept if pos[i] - pos[k] <= window and ids[k] not in gone]
+                # latest first, as near sites are linked more often
+                for end in range(len(kept), 0, -chunk):
+                    if passes(rated(calls[i : i + 1], calls[kept[max(0, end - chunk) : end]])[0], r2).any():
+                        gone.add(site)
+                        break
+            if site not in gone:
+                kept.append(i)
+        dropped = sorted({x for x, o in zip(ids, ours, strict=True) if o and x in gone})
         return pd.DataFrame({"chrom": group["chrom"].iloc[0], "block": group["block"].iloc[0], "variant_id": dropped})
 
     form = f"chrom string, block long, variant_id {kind}"
-    crossing = checkpointed(links.where(F.col("from") < F.col("block")).select("chrom", F.col("from").alias("block"), F.col("keep_id").alias("variant_id"), F.col("block").alias("into")).distinct())
+    crossing = dealt.where("own < block").select("chrom", F.col("own").alias("from"), "variant_id", F.col("block").alias("into")).distinct()
     before, dropped, stale = None, None, None
     while True:
-        todo = links if stale is None else links.join(stale, ["chrom", "block"], "left_semi")
+        todo = dealt if stale is None else dealt.join(stale, ["chrom", "block"], "left_semi")
         if before is None:
             marked = todo.withColumn("gone", F.lit(False))
         else:
             flags = before.select(F.col("chrom").alias("c"), F.col("variant_id").alias("v"), F.col("into").alias("b"), F.lit(True).alias("gone"))
-            marked = todo.join(flags, (todo.chrom == flags.c) & (todo.keep_id == flags.v) & (todo.block == flags.b), "left").drop("c", "v", "b").withColumn("gone", F.coalesce("gone", F.lit(False)))
+            marked = todo.join(flags, (todo.chrom == flags.c) & (todo.variant_id == flags.v) & (todo.block == flags.b) & (todo.own < todo.block), "left").drop("c", "v", "b").withColumn("gone", F.coalesce("gone", F.lit(False)))
         walked = marked.groupBy("chrom", "block").applyInPandas(walk, form)
         dropped = checkpointed(walked if dropped is None else dropped.join(stale, ["chrom", "block"], "left_anti").unionByName(walked))
-        now = checkpointed(crossing.join(dropped, ["chrom", "block", "variant_id"], "left_semi"))
+        left = dropped.withColumnRenamed("block", "from")
+        now = checkpointed(crossing.join(left, ["chrom", "from", "variant_id"], "left_semi").select("chrom", "variant_id", "into"))
         moved = now if before is None else now.exceptAll(before).unionByName(before.exceptAll(now))
         stale = checkpointed(moved.select("chrom", F.col("into").alias("block")).distinct())
         before = now

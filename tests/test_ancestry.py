@@ -56,6 +56,22 @@ def test_pruning_dense_sites(spark, walk, monkeypatch):
     assert got == greedy(chrom, pos, calls, 300, 0.2) and len(got) < 390
 
 
+def test_dense_sites_are_never_held_as_pairs(spark, monkeypatch):
+    # all sites lie within one window: the pairs that are linked are many times the sites
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 3, (3, 40))
+    calls = np.array([np.where(rng.random(40) < 0.2, rng.integers(-1, 3, 40), base[i % 3]) for i in range(150)])
+    chrom, pos, stored = ["1"] * 150, rng.integers(1, 280, 150), []
+    monkeypatch.setattr(ancestry, "checkpointed", lambda df, f=ancestry.checkpointed: (stored.append(df.count()), f(df))[1])
+    frame = panel(spark, chrom, pos, calls)
+    assert {r[0] for r in ancestry.ld_prune(frame, 300, 0.2).collect()} == greedy(chrom, pos, calls, 300, 0.2)
+    assert max(stored) <= 2 * 150
+    monkeypatch.setattr(ancestry, "MOST_CELLS", 900)
+    got = {frozenset((r["keep_id"], r["drop_id"])) for r in ancestry.linked_pairs(frame, 300, 0.2).collect()}
+    want = {frozenset((i, j)) for i in range(150) for j in range(i) if squared(calls[i], calls[j]) > 0.2}
+    assert got == want and len(want) > 2000
+
+
 @pytest.mark.parametrize("samples,sites,k", [(70, 400, 10), (180, 300, 3), (12, 40, 10)])
 def test_components_span_the_dense_ones(spark, samples, sites, k):
     rng = np.random.default_rng(samples)
