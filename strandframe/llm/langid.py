@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_remainder, require_columns
+from .common import checkpointed, crc_remainder, require_columns
 
 ORDER = 4
 SPACE = 32
@@ -244,7 +244,6 @@ def train(
     lang: str = "lang",
     doc_id: str = "doc_id",
     learn: "F.Column | None" = None,
-    calibration_rows: int = 4_000,
     margin: float = 1.5,
     false_rejections: float = 0.002,
 ) -> LanguageModel:
@@ -252,10 +251,10 @@ def train(
 
     Codes are counted over all such rows in Spark, and all counted codes are in the models: 8 bytes and 4 for each
     language per different code, which reach the driver and every worker. A quarter of the rows, by crc32 of the
-    text, is left out of a first model, which scores at most about `calibration_rows` of these, the first by a hash
-    of the text, for the rejection limit: `margin` times the surprise that all but a share `false_rejections` of them stay
-    below (6 at least), so that no single odd text sets it and at most that share of such texts is rejected. The final
-    model uses all counts.
+    text, is left out of a first model, which scores all of these for centers, spreads and the rejection limit: `margin` times the surprise that all but a share `false_rejections` of them stay
+    below (6 at least), so that no single odd text sets it and at most that share of such texts is rejected. Equal texts of
+    one label are one text. Sums, medians and the quantile are taken in Spark, surprises in steps of 1 / STEPS. The final model uses
+    all counts.
     """
     require_columns(docs, text, lang, doc_id)
     chosen = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.lit(True) if learn is None else F.coalesce(learn, F.lit(False))))
@@ -284,34 +283,55 @@ def train(
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for x, t in zip(batch["lang"], batch["text"], strict=True):
+            for x, th, th2, t in zip(batch["lang"], batch["th"], batch["th2"], batch["text"], strict=True):
                 n, entropy = first.value.cross_entropy(t)
                 if n:
-                    found.append((x, n, float(entropy[first.value.langs.index(x)])))
-            yield pd.DataFrame(found, columns=["lang", "n", "entropy"])
+                    found.append((x, th, th2, n, float(entropy[first.value.langs.index(x)])))
+            yield pd.DataFrame(found, columns=["lang", "th", "th2", "n", "entropy"])
 
-    share = max(1, -(-rows.count() // (4 * calibration_rows)))
-    sample = rows.where(F.col("kept_out") & F.col("lang").isin(langs) & (F.pmod(F.xxhash64("text"), F.lit(share)) == 0))
-    sample = sample.select("lang", "text").distinct().orderBy(F.xxhash64("text"), "lang").limit(2 * calibration_rows)
-    seen = sample.mapInPandas(scored, "lang string, n long, entropy double").toPandas()
+    # only the hash of a text and its figures are kept: equal texts are scored alike
+    kept_out = rows.where("kept_out").select("lang", "text")
+    ids = kept_out.select("lang", F.xxhash64("text").alias("th"), F.xxhash64("text", F.lit(1)).alias("th2"), "text")
+    seen = checkpointed(ids.mapInPandas(scored, "lang string, th long, th2 long, n long, entropy double").dropDuplicates(["lang", "th", "th2"]))
     first.unpersist()
-    center, spread, surprises = {}, {}, [0.0]
+
+    def figures(df: DataFrame) -> DataFrame:
+        """Per language and over all (null): texts, median length, mean entropy by letters, spread of the longer half."""
+        both = df.unionByName(df.withColumn("lang", F.lit(None).cast("string")))
+        medians = both.groupBy(F.col("lang").alias("own")).agg(F.median("n").alias("median"))
+        long = F.when(F.col("n") >= F.col("median"), F.col("entropy"))
+        joined = both.join(F.broadcast(medians), F.col("lang").eqNullSafe(F.col("own")))
+        return joined.groupBy("lang").agg(F.count("*").alias("texts"), (F.sum(F.col("entropy") * F.col("n")) / F.sum("n")).alias("center"), F.stddev_pop(long).alias("spread"))
+
+    # a row a language
+    found = {r["lang"]: r for r in figures(seen).collect()}
+    center, spread = {}, {}
     for x in langs:
-        own = seen[seen["lang"] == x]
-        if len(own) < 8:
-            own = seen
-        if not len(own):
-            center[x], spread[x] = 3.0, (3.0, 3.0)
-            continue
-        long = own[own["n"] >= own["n"].median()]
-        center[x] = float(np.average(own["entropy"], weights=own["n"]))
-        spread[x] = max(0.05, float(long["entropy"].std(ddof=0))), 2.0
+        own = found[x] if x in found and found[x]["texts"] >= 8 else found.get(None)
+        center[x], spread[x] = (3.0, (3.0, 3.0)) if own is None else (own["center"], (max(0.05, own["spread"]), 2.0))
     out = LanguageModel(model("n"), center, spread, 6.0)
-    surprises += [out.surprise(x, n, e) for x, n, e in seen.itertuples(index=False)]
-    out.limit = max(6.0, margin * float(np.quantile(surprises, 1 - false_rejections, method="higher")))
+    out.limit = max(6.0, margin * _quantile(seen, out, 1 - false_rejections))
     return out
 
 
+#: Surprises are counted in steps of 1 / STEPS, those beyond MOST_SURPRISE in one.
+STEPS, MOST_SURPRISE = 256, 1 << 12
+
+
+def _quantile(seen: DataFrame, model: LanguageModel, share: float) -> float:
+    """The surprise, rounded up to a step, that at least `share` of all scored texts do not exceed; 0 without any."""
+    kinds = [(x, model.center[x], *model.spread[x]) for x in model.center]
+    marks = F.broadcast(seen.sparkSession.createDataFrame(kinds, "lang string, center double, fixed double, per_char double"))
+    surprise = (F.col("entropy") - F.col("center")) / F.sqrt(F.col("fixed") ** 2 + F.col("per_char") ** 2 / F.col("n"))
+    step = F.ceil(F.least(F.greatest(surprise, F.lit(0.0)), F.lit(float(MOST_SURPRISE))) * STEPS)
+    # a row a step that occurs
+    steps = seen.join(marks, "lang").groupBy(step.alias("step")).agg(F.count("*").alias("k")).orderBy("step").collect()
+    if not steps:
+        return 0.0
+    below = np.cumsum([r["k"] for r in steps])
+    return steps[int(np.searchsorted(below, share * below[-1] - 1e-9))]["step"] / STEPS
+
+
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Add lang_pred, score (0 to 1) and rejected to every row; columns of these names are replaced.
 

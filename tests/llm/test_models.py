@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -134,3 +135,21 @@ def test_token_counts_of_letters_that_tables_know_otherwise():
     want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [counter.count_and_cut(t, 2048)[0] for t in texts] == want
     assert all(counter.table(t)[-1] == n for t, n in zip(texts[::40], want[::40]))
+
+
+def test_every_left_out_text_sets_centers_and_limit(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 20, 5)) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 3)) for _ in range(20_000)]
+    model = langid.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' lang"))
+    out = [zlib.crc32(t.encode()) % 4 == 3 for t in texts]
+    codes, n = np.unique(np.concatenate([langid.grams(langid.letters(t)) for t, o in zip(texts, out) if not o]), return_counts=True)
+    first = langid.KneserNey(["x"], {"x": (codes, n)})
+    seen = [first.cross_entropy(t) for t in sorted({t for t, o in zip(texts, out) if o})]
+    size, entropy = np.array([k for k, _ in seen]), np.array([e[0] for _, e in seen])
+    assert len(seen) > 4500
+    assert abs(model.center["x"] - np.average(entropy, weights=size)) < 1e-9
+    assert abs(model.spread["x"][0] - max(0.05, entropy[size >= np.median(size)].std())) < 1e-9
+    surprises = [model.surprise("x", k, e) for k, e in zip(size, entropy)]
+    exact = langid._quantile(spark.createDataFrame([("x", int(k), float(e)) for k, e in zip(size, entropy)], "lang string, n long, entropy double"), model, 0.998)
+    assert 0 <= exact - max(0, np.quantile(surprises, 0.998, method="inverted_cdf")) <= 1 / langid.STEPS
