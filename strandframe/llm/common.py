@@ -25,6 +25,9 @@ class _Scratch(threading.local):
 
 _SCRATCH = _Scratch()
 
+#: Spark deletes the shuffle files of what runs under this setting at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
@@ -41,14 +44,20 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
 def stored(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write `df` once as a table in the shared checkpoint folder and read it from there; for frames of the operators' own columns.
 
-    Smaller than a checkpoint, and its size is known to the planner. It stays until the innermost
+    Smaller than a checkpoint, and its size is known to the planner. Its shuffle files go as soon as it is written,
+    not when the driver collects garbage. It stays until the innermost
     scratch_tables() ends, or with `keep` and outside of any until the driver does: results may read it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         checkpointed(spark.range(0))
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if _SCRATCH.open and not keep:
         _SCRATCH.open[-1].append(path)
     else:
@@ -73,6 +82,9 @@ def crc_remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(divisor)
 
 
+#: Tokens are counted by so many of their bits, in a table that the driver holds.
+BUCKET_BITS = 16
+
 #: A frame of a few longs a row is broadcast up to this many bytes and dealt by its key beyond.
 MOST_BROADCAST, ROW_BYTES = 64 << 20, 16
 
@@ -120,7 +132,7 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         seen = now
 
 
-#: Further comparisons of each row of a bucket of HEAVY times the usual size with one row, before rows of different groups are compared with each other.
+#: Further comparisons of each row of a cut bucket that still has HEAVY times the usual size with one row, before rows of different groups are compared with each other.
 STARS, HEAVY = 2, 8
 
 
@@ -150,23 +162,33 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: f
     return stored(members.join(small(several, 2, most), "key"))
 
 
-def rarest_tokens(tokens: DataFrame, first: Column) -> DataFrame:
-    """(h1, token): the `first` so many, a column over size n, of each row's `tokens` (h1, n, token), the rarest first.
+def rarest_tokens(sets: DataFrame, first: Column) -> DataFrame:
+    """(h1, tokens): the `first` so many, a column over size n, of each row's different `tokens` (h1, n, tokens), longs, the rarest first.
 
     If of two rows all but k - 1 tokens of each are tokens of the other, they share one of the k that come first in any
-    order that is the same for both: none before the first common one is common. Tokens of one row alone are left out.
+    order that is the same for both: none before the first common one is common. Here the order goes by how many rows,
+    as a power of two, have tokens of the same BUCKET_BITS low bits, counted over all rows, and then by the token.
     """
-    rated = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("rows")), "token")
-    ranked = rated.groupBy("h1", "n").agg(F.sort_array(F.collect_list(F.struct("rows", "token"))).alias("all"))
-    return ranked.select("h1", F.explode(F.slice("all", F.lit(1), first)).alias("t")).where("t.rows > 1").select("h1", "t.token")
+    bucket = lambda t: t.bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).cast("int")
+    counted = sets.select(F.explode(F.transform("tokens", bucket)).alias("bucket")).groupBy("bucket").agg(F.floor(F.log2(F.count("*"))).cast("int").alias("level"))
+    levels = [0] * (1 << BUCKET_BITS)
+    for bucket_number, level in counted.collect():
+        levels[bucket_number] = level
+    table = sets.sparkSession.createDataFrame([(levels,)], "levels array<tinyint>")
+    # the level above the lower 58 bits of the token
+    ordered = F.transform("tokens", lambda t: F.shiftleft(F.get("levels", bucket(t)).cast("long"), 58).bitwiseOR(t.bitwiseAND(F.lit((1 << 58) - 1))))
+    return sets.crossJoin(F.broadcast(table)).select("h1", F.slice(F.sort_array(ordered), F.lit(1), first).alias("tokens"))
 
 
 def cut_by_tokens(rows: DataFrame, prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(asked, indexed): rows of large buckets keyed by a token of `prefixes` (h1, token) too; only those outside their bucket's largest group ask.
+    """(asked, indexed): rows of large buckets keyed by each of their `prefixes` (h1, tokens) too, `lines` counted anew; only those outside their bucket's largest group ask.
 
-    Of a pair in different groups at least one does.
+    Of a pair in different groups at least one does. Rows alone with their group under a key are left out.
     """
-    indexed = stored(rows.join(prefixes, "h1").withColumn("key", F.xxhash64("key", "token")).drop("token"))
+    held = stored(rows.join(prefixes, "h1"))
+    keyed = held.withColumn("token", F.explode("tokens")).withColumn("key", F.xxhash64("key", "token")).drop("token", "tokens")
+    several = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("lines")).where("lo <> hi")
+    indexed = stored(keyed.drop("lines").join(small(stored(several.select("key", "lines")), 2), "key"))
     return indexed.where("root <> main"), indexed
 
 
@@ -181,7 +203,7 @@ def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFra
     Each row of a bucket is first compared with its most frequent one, and after that only what is in different
     groups with each other: groups of near copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b,
     b_n, b_fp) must pass before `verified` reads more. Buckets of more than `bucket_rows` go through `cut` for it, which keys
-    rows more finely, without loss; those that stay much larger are compared with a most frequent row of their own, again.
+    rows more finely, without loss; each row is compared with a most frequent one there, too, and in those that stay much larger again.
     """
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -199,19 +221,18 @@ def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFra
     pairs = stored(_bucket_pairs(rest.where((F.col("lines") <= bucket_rows) & (F.col("root") != F.col("main"))), rest.where(F.col("lines") <= bucket_rows), alike))
     if not large.isEmpty():
         asked, indexed = cut(large)
-        heavy = indexed.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > bucket_rows * HEAVY)
-        rows = stored(indexed.drop("root", "main", "lines").join(heavy, "key"))
-        light = [x.join(heavy, "key", "left_anti") for x in (asked, indexed)]
-        pairs = pairs.unionByName(_bucket_pairs(*light, alike))
-        if not rows.isEmpty():
-            rooted = _mixed(rows, grouped)
-            for _ in range(STARS):
-                links = checked(star(rooted, rooted.where("root <> main")))
-                if links.isEmpty():
-                    break
+        rows, rooted = indexed.drop("root", "main"), indexed
+        for turn in range(1 + STARS):
+            # the first time in all buckets: most hold a few near copies, which then need no pairs
+            usual = turn == 0
+            links = checked(star(rooted, asked) if usual else star(*(x.where(F.col("lines") > bucket_rows * HEAVY) for x in (rooted, rooted.where("root <> main")))))
+            if not links.isEmpty():
                 grouped = _joined_groups(grouped, links)
+            if usual or not links.isEmpty():
                 rooted = _mixed(rows, grouped)
-            pairs = pairs.unionByName(_bucket_pairs(rooted.where("root <> main"), rooted, alike))
+            else:
+                break
+        pairs = pairs.unionByName(_bucket_pairs(rooted.where("root <> main"), rooted, alike))
     more = checked(pairs)
     return grouped if more.isEmpty() else _joined_groups(grouped, more)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, ROW_BYTES, bucket_groups, cut_by_tokens, rarest_tokens, require_columns, scratch_tables, shared_keys, small, stored
+from .common import MOST_BROADCAST, ROW_BYTES, bucket_groups, cut_by_tokens, pair_ends, rarest_tokens, require_columns, scratch_tables, shared_keys, small, stored
 
 #: A line is keyed by PICKS of its blocks. Pairs may differ in APART of 64 fingerprint bits.
 PICKS, APART = 8, 20
@@ -103,23 +103,26 @@ def _similar(similarity: float) -> Column:
     return F.expr(f"{within('one')} and {within('two')}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are similar."""
-    ends = [texts.select(F.col("h1").alias(x), F.col("one").alias(f"{x}_one"), F.col("two").alias(f"{x}_two")) for x in "ab"]
-    return pairs.join(ends[0], "a").join(ends[1], "b").where(_similar(similarity)).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
+    """The pairs (a, b) whose lines are similar. Only texts of lines in pairs are made and dealt."""
+    ends = {x: small(stored(pairs.select(F.col(x).alias("h1")).distinct()), most=most) for x in "ab"}
+    wanted = stored(texts.join(small(stored(pair_ends(pairs).distinct()), most=most), "h1", "left_semi"))
+    for x in "ab":
+        own = wanted.join(ends[x], "h1", "left_semi")
+        pairs = pairs.join(own.select(F.col("h1").alias(x), F.col("one").alias(f"{x}_one"), F.col("two").alias(f"{x}_two")), x)
+    return pairs.where(_similar(similarity)).select("a", "b")
 
 
-def _runs(rows: DataFrame, texts: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+def _runs(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, most: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """(asked, indexed): rows of the same columns keyed by one of their rarest words too, such that similar lines of a bucket share one.
 
-    Lines of n words with partners of up to n / `similarity` words differ from them in at most e words, repeats counted,
-    so that they share one of their e + 1 rarest ones, whichever way words are counted.
+    Lines of n words with partners of up to n / `similarity` words differ from them in at most e words, and so in at most e
+    different words, so that they share one of their e + 1 rarest different ones, whichever way words are counted.
     """
-    coded = texts.join(rows.select("h1", "n").distinct(), "h1").select("h1", "n", F.explode(F.split("one", "")).alias("word"))
-    counted = coded.groupBy("h1", "n", "word").agg(F.count("*").cast("int").alias("times"))
-    tokens = stored(counted.select("h1", "n", F.explode(F.sequence(F.lit(1), "times")).alias("time"), "word").select("h1", "n", F.xxhash64("word", "time").alias("token")))
+    wanted = small(stored(rows.select("h1", "n").distinct()), 2, most)
+    words = texts.join(wanted, "h1").select("h1", "n", F.transform(F.array_distinct(F.split("one", "")), lambda w: F.ascii(w).cast("long")).alias("tokens"))
     edits = F.floor(F.floor(F.col("n") / similarity + 1e-9) * (1 - similarity) + 1e-9).cast("int")
-    return cut_by_tokens(rows, rarest_tokens(tokens, edits + 1))
+    return cut_by_tokens(rows, rarest_tokens(stored(words), edits + 1))
 
 
 def fuzzy_groups(lines: DataFrame, similarity: float = 0.8, most: int = MOST_BROADCAST) -> DataFrame:
@@ -134,9 +137,9 @@ def fuzzy_groups(lines: DataFrame, similarity: float = 0.8, most: int = MOST_BRO
     wanted = stored(members.select("h1").distinct())
     coded = stored(able.drop("picks").join(small(wanted, most=most), "h1", "left_semi").dropDuplicates(["h1"]))
     prints = stored(simhashed(coded, ["h1"], "c").groupBy("h1").agg(F.bit_or("fp").alias("fp")))
-    texts = stored(coded.select("h1", code_text(F.col("c"), 0).alias("one"), code_text(F.col("c"), 12).alias("two")))
+    texts = coded.select("h1", code_text(F.col("c"), 0).alias("one"), code_text(F.col("c"), 12).alias("two"))
     rows = stored(members.join(prints, "h1"))
-    return bucket_groups(rows, _alike(similarity), lambda pairs: _verified(pairs, texts, similarity), BUCKET_LINES, lambda large: _runs(large, texts, similarity))
+    return bucket_groups(rows, _alike(similarity), lambda pairs: _verified(pairs, texts, similarity, most), BUCKET_LINES, lambda large: _runs(large, texts, similarity, most))
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, separator: str = "\n") -> DataFrame:

@@ -207,8 +207,8 @@ def similar_groups(docs: DataFrame, prints: DataFrame, words: int, similarity: f
 
     def cut(large: DataFrame) -> tuple[DataFrame, DataFrame]:
         # of such sets all but 1 - similarity of one are in the other
-        tokens = sets_of(stored(large.select("h1").distinct())).select("h1", F.size("set").alias("n"), F.explode("set").alias("token"))
-        return cut_by_tokens(large, rarest_tokens(stored(tokens), F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1))
+        sets = sets_of(stored(large.select("h1").distinct())).select("h1", F.size("set").alias("n"), F.col("set").alias("tokens"))
+        return cut_by_tokens(large, rarest_tokens(stored(sets), F.floor(F.col("n") * (1 - similarity) + 1e-9).cast("int") + 1))
 
     return bucket_groups(rows, F.expr(f"bit_count(a_fp ^ b_fp) <= {APART}"), verified, BUCKET_TEXTS, cut)
 
