@@ -116,13 +116,16 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, most: int =
 def _runs(rows: DataFrame, texts: DataFrame, similarity: float = 0.8, most: int = MOST_BROADCAST) -> tuple[DataFrame, DataFrame]:
     """(asked, indexed): rows of the same columns keyed by one of their rarest words too, such that similar lines of a bucket share one.
 
-    Lines of n words with partners of up to n / `similarity` words differ from them in at most e words, and so in at most e
-    different words, so that they share one of their e + 1 rarest different ones, whichever way words are counted.
+    Lines of n words with partners of up to n / `similarity` words differ from them in at most e words, repeats counted,
+    so that they share one of their e + 1 rarest ones, whichever way words are counted.
     """
-    wanted = small(stored(rows.select("h1", "n").distinct()), 2, most)
-    words = texts.join(wanted, "h1").select("h1", "n", F.transform(F.array_distinct(F.split("one", "")), lambda w: F.ascii(w).cast("long")).alias("tokens"))
+    # before the texts are made, of those rows alone
+    wanted = small(stored(rows.select("h1").distinct()), most=most)
+    coded = texts.join(wanted, "h1", "left_semi").select("h1", F.length("one").alias("n"), F.explode(F.split("one", "")).alias("word"))
+    counted = coded.groupBy("h1", "n", "word").agg(F.count("*").cast("int").alias("times"))
+    tokens = stored(counted.select("h1", "n", F.explode(F.sequence(F.lit(1), "times")).alias("time"), "word").select("h1", "n", F.xxhash64("word", "time").alias("token")))
     edits = F.floor(F.floor(F.col("n") / similarity + 1e-9) * (1 - similarity) + 1e-9).cast("int")
-    return cut_by_tokens(rows, rarest_tokens(stored(words), edits + 1))
+    return cut_by_tokens(rows, rarest_tokens(tokens, edits + 1))
 
 
 def fuzzy_groups(lines: DataFrame, similarity: float = 0.8, most: int = MOST_BROADCAST) -> DataFrame:
