@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
@@ -31,7 +31,7 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def scratch_tables(spark: SparkSession) -> Iterator[None]:
-    """Delete the tables that stored() writes meanwhile, but for those to keep; nothing lazy may still need them."""
+    """Delete the tables that stored() writes meanwhile, but for those to keep; nothing lazy may still need them. Inside another, kept ones go with that."""
     _SCRATCH.open.append([])
     try:
         yield
@@ -46,7 +46,7 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
 
     Smaller than a checkpoint, and its size is known to the planner. Its shuffle files go as soon as it is written,
     not when the driver collects garbage. It stays until the innermost
-    scratch_tables() ends, or with `keep` and outside of any until the driver does: results may read it.
+    scratch_tables() ends, with `keep` until the next outer one does, and outside of any until the driver does: results may read it.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,8 +58,8 @@ def stored(df: DataFrame, keep: bool = False) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    if _SCRATCH.open and not keep:
-        _SCRATCH.open[-1].append(path)
+    if len(_SCRATCH.open) > keep:
+        _SCRATCH.open[-1 - keep].append(path)
     else:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -129,8 +129,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
         seen = now
 
 
-#: Further comparisons of each row of a bucket of HEAVY times the usual size with one row, before rows of different groups are compared with each other.
-STARS, HEAVY = 2, 8
+#: Buckets of more rows than STAR_ROWS compare theirs with up to STARS further ones, before rows of different groups are compared with each other.
+STARS, STAR_ROWS = 2, 32
 
 
 def shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
@@ -140,6 +140,11 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: f
     more rows than that is no key by itself but together with each other pick of a row, so that pairs which share
     nothing else are lost; the operators give None, which keeps every pick, and have large buckets cut without loss.
     """
+    with scratch_tables(rows.sparkSession):
+        return stored(_shared_keys(rows, picks, crowd, similarity, most), keep=True)
+
+
+def _shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: float, most: int) -> DataFrame:
     picked = rows.select("h1", "n", picks.alias("picks"))
     keyed = picked.select("h1", "n", F.explode("picks").alias("key"))
     # size above, a part of the hash below: two numbers tell whether there are different rows, and of what sizes
@@ -156,7 +161,7 @@ def shared_keys(rows: DataFrame, picks: Column, crowd: int | None, similarity: f
         met = met.select("h1", "n", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array("key"))).alias("key"))
     members = stored(met.groupBy("key", "h1", "n").agg(F.count("*").alias("copies")))
     several = stored(members.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"))
-    return stored(members.join(small(several, 2, most), "key"))
+    return members.join(small(several, 2, most), "key")
 
 
 def rarest_tokens(tokens: DataFrame, first: Column) -> DataFrame:
@@ -184,17 +189,20 @@ def pair_ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("h1"))
 
 
-def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFrame], DataFrame], bucket_rows: int, cut: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> DataFrame:
+def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFrame], DataFrame], bucket_rows: int, cut: Callable[[DataFrame], tuple[DataFrame, DataFrame]], marked: Callable[[DataFrame], DataFrame] | None = None, fits: Column | None = None) -> DataFrame:
     """(node, component): the groups that verified pairs of `members` (key, h1, fp, n, copies, lines) connect; all pairs of a bucket are possible.
 
-    Each row of a bucket is first compared with its most frequent one, and after that only what is in different
-    groups with each other: groups of near copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b,
+    Each row of a bucket is first compared with its most frequent one and, in buckets of many rows still in different
+    groups, with the most frequent one outside its largest group, a few times. After that only what is in different groups is
+    compared with each other: groups of near copies need a few comparisons a row. `alike` is what a pair (a, a_n, a_fp, b,
     b_n, b_fp) must pass before `verified` reads more. Buckets of more than `bucket_rows` go through `cut` for it, which keys
-    rows more finely, without loss; those that stay much larger are compared with a most frequent row of their own, again.
+    rows more finely, without loss. `marked` adds columns to rows for this last comparison, of which pairs must pass `fits`, too.
     """
 
     def checked(pairs: DataFrame) -> DataFrame:
-        return stored(verified(stored(pairs.distinct())))
+        with scratch_tables(pairs.sparkSession):
+            different = stored(pairs.distinct())
+            return stored(verified(different), keep=True)
 
     def star(rows: DataFrame, centres: DataFrame) -> DataFrame:
         c = centres.groupBy("key").agg(F.max(F.struct("copies", "h1", "fp", "n", "root")).alias("c")).select("key", *[F.col(f"c.{x}").alias(y) for x, y in (("h1", "b"), ("fp", "b_fp"), ("n", "b_n"), ("root", "b_root"))])
@@ -204,30 +212,32 @@ def bucket_groups(members: DataFrame, alike: Column, verified: Callable[[DataFra
     alone = members.withColumn("root", F.col("h1"))
     grouped = stored(connected_components(checked(star(alone, alone))))
     rest = _mixed(members, grouped)
+    crowded, before = rest.where(F.col("lines") > STAR_ROWS), grouped
+    for _ in range(STARS):
+        links = checked(star(crowded, crowded.where("root <> main")))
+        if links.isEmpty():
+            break
+        grouped = _joined_groups(grouped, links)
+        crowded = _mixed(crowded.drop("root", "main"), grouped)
+    if grouped is not before:
+        rest = _mixed(rest.drop("root", "main"), grouped)
+    extra = []
+    if marked is not None:
+        marks = marked(rest)
+        extra, alike = [c for c in marks.columns if c != "h1"], alike & fits
+        rest = stored(rest.join(marks, "h1"))
     large = rest.where(F.col("lines") > bucket_rows)
-    pairs = stored(_bucket_pairs(rest.where((F.col("lines") <= bucket_rows) & (F.col("root") != F.col("main"))), rest.where(F.col("lines") <= bucket_rows), alike))
+    few = rest.where(F.col("lines") <= bucket_rows)
+    pairs = _bucket_pairs(few.where("root <> main"), few, alike, extra)
     if not large.isEmpty():
-        asked, indexed = cut(large)
-        heavy = indexed.groupBy("key").agg(F.count("*").alias("lines")).where(F.col("lines") > bucket_rows * HEAVY)
-        rows = stored(indexed.drop("root", "main", "lines").join(heavy, "key"))
-        light = [x.join(heavy, "key", "left_anti") for x in (asked, indexed)]
-        pairs = pairs.unionByName(_bucket_pairs(*light, alike))
-        if not rows.isEmpty():
-            rooted = _mixed(rows, grouped)
-            for _ in range(STARS):
-                links = checked(star(rooted, rooted.where("root <> main")))
-                if links.isEmpty():
-                    break
-                grouped = _joined_groups(grouped, links)
-                rooted = _mixed(rows, grouped)
-            pairs = pairs.unionByName(_bucket_pairs(rooted.where("root <> main"), rooted, alike))
+        pairs = pairs.unionByName(_bucket_pairs(*cut(large), alike, extra))
     more = checked(pairs)
     return grouped if more.isEmpty() else _joined_groups(grouped, more)
 
 
-def _bucket_pairs(one: DataFrame, two: DataFrame, alike: Column) -> DataFrame:
-    """Pairs of rows of one bucket in different groups that pass `alike`."""
-    left, right = (rows.select("key", F.col("h1").alias(x), F.col("n").alias(f"{x}_n"), F.col("fp").alias(f"{x}_fp"), F.col("root").alias(f"{x}_root")) for rows, x in ((one, "a"), (two, "b")))
+def _bucket_pairs(one: DataFrame, two: DataFrame, alike: Column, extra: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows of one bucket in different groups that pass `alike`, which may read the `extra` columns as a_ and b_, too."""
+    left, right = (rows.select("key", F.col("h1").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "fp", "root", *extra)]) for rows, x in ((one, "a"), (two, "b")))
     return left.join(right, "key").where("a_root <> b_root").where(alike).select("a", "a_n", "b", "b_n").distinct()
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +11,10 @@ from .common import MOST_BROADCAST, ROW_BYTES, bucket_groups, cut_by_tokens, pai
 PICKS, APART = 8, 20
 #: Words of a block, by the least number of words of a line; two lines on both sides of a limit have blocks of both kinds.
 WIDTHS = {2: 0, 3: 6, 4: 20}
-#: A block of more lines is crowded: its lines are dealt by their rarest words before they are compared with each other.
-CROWD = BUCKET_LINES = 32
+#: A block of more lines is crowded. Of more than BUCKET_LINES they are dealt by their rarest words before they are compared with each other.
+CROWD, BUCKET_LINES = 32, 2048
+#: Longs of bits of a line's words.
+MARKS = 8
 #: Four counters 16 bits apart in a long for lines of up to NARROW different words, two 32 bits apart for longer ones.
 #: The highest bit of each counter stays free, and with it the sign.
 SUMS, NARROW = 16, (1 << 14) - 1
@@ -60,29 +60,43 @@ def blocks(codes: Column, n: Column, similarity: float) -> Column:
     shortest, longest = F.ceil(n * similarity - 1e-9), F.floor(n / similarity + 1e-9)
     spots = F.slice(F.sort_array(F.array_distinct(codes)), 1, PICKS)
 
-    def run(width: int) -> Callable[[Column], Column]:
-        def of(code: Column) -> Column:
-            # bound once: where the word is first
-            at = F.array_position(codes, code).cast("int") - 1
-            return F.get(F.transform(F.array(at), lambda i: F.when(i + width <= F.size(codes), F.xxhash64(F.lit(width), code, *[F.get(codes, i + k) for k in range(1, width)]))), F.lit(0))
-
-        return of
+    def runs(width: int) -> Column:
+        # from where each word is first; those cut short by the line's end are none
+        cut = F.transform(spots, lambda code: F.slice(codes, F.array_position(codes, code).cast("int"), width))
+        return F.transform(F.filter(cut, lambda run: F.size(run) == width), lambda run: F.xxhash64(run))
 
     none, parts = F.array().cast("array<bigint>"), []
     limits = [*WIDTHS.values(), 1 << 30]
     for width, least, beyond in zip(WIDTHS, limits, limits[1:], strict=False):
-        parts.append(F.when((longest >= least) & (shortest < beyond), F.transform(spots, run(width))).otherwise(none))
-    return F.array_distinct(F.array_compact(F.concat(*parts)))
+        parts.append(F.when((longest >= least) & (shortest < beyond), runs(width)).otherwise(none))
+    return F.array_distinct(F.concat(*parts))
+
+
+def word_bits(lines: DataFrame) -> DataFrame:
+    """(h1, b0, b1, ...): MARKS longs for each line (h1, c), with a bit set for each of its words."""
+    words = lines.select("h1", F.explode(F.array_distinct("c")).alias("w"))
+    return words.groupBy("h1").agg(*[F.bit_or(F.expr(f"if(pmod(w, {MARKS}) = {i}, shiftleft(1L, (w >> 8) & 63), 0L)")).alias(f"b{i}") for i in range(MARKS)])
+
+
+def _fits(similarity: float) -> Column:
+    """What word bits of similar lines pass: an edit takes the last of one word at most away, and with it one bit."""
+    only = [" + ".join(f"bit_count({x}_b{i} & ~{y}_b{i})" for i in range(MARKS)) for x, y in ("ab", "ba")]
+    return F.expr(" and ".join(f"{bits} <= {_bound(similarity)}" for bits in only))
 
 
 def code_text(codes: Column, shift: int) -> Column:
-    """One character for each 32-bit word code, by 20 of its bits: 2 ** 20 of them, all those beyond the basic plane."""
-    hexes = F.transform(codes, lambda c: F.lpad(F.hex(F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << 20) - 1)) + (1 << 16)), 8, "0"))
-    return F.decode(F.unhex(F.array_join(hexes, "")), "UTF-32")
+    """One character for each 32-bit word code, by 19 of its bits: 2 ** 19 of them, from 10000 to 8FFFF in hexadecimal."""
+    hexes = F.transform(codes, lambda c: F.hex(F.shiftrightunsigned(c, shift).bitwiseAND(F.lit((1 << 19) - 1)) + (1 << 16)))
+    return F.decode(F.unhex(F.concat(F.lit("000"), F.array_join(hexes, "000"))), "UTF-32")
+
+
+def texts_of(coded: DataFrame) -> DataFrame:
+    """(h1, one, two): the words of lines (h1, c) as two texts of one character a word, of all bits of their codes."""
+    return coded.select("h1", code_text(F.col("c"), 0).alias("one"), code_text(F.col("c"), 13).alias("two"))
 
 
 def _bound(similarity: float) -> str:
-    return f"cast(floor(greatest(a_n, b_n) * {1 - similarity:.6f} + 1e-9) as int)"
+    return f"cast(floor(greatest(a_n, b_n) * {1 - similarity:.6f}D + 1e-9D) as int)"
 
 
 def _alike(similarity: float) -> Column:
@@ -103,10 +117,11 @@ def _similar(similarity: float) -> Column:
     return F.expr(f"{within('one')} and {within('two')}")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
+def _verified(pairs: DataFrame, coded: DataFrame, similarity: float, most: int = MOST_BROADCAST) -> DataFrame:
     """The pairs (a, b) whose lines are similar. Only texts of lines in pairs are made and dealt."""
     ends = {x: small(stored(pairs.select(F.col(x).alias("h1")).distinct()), most=most) for x in "ab"}
-    wanted = stored(texts.join(small(stored(pair_ends(pairs).distinct()), most=most), "h1", "left_semi"))
+    # an inner join, as texts would be made below a semi join, of all lines
+    wanted = stored(texts_of(coded.join(small(stored(pair_ends(pairs).distinct()), most=most), "h1")))
     for x in "ab":
         own = wanted.join(ends[x], "h1", "left_semi")
         pairs = pairs.join(own.select(F.col("h1").alias(x), F.col("one").alias(f"{x}_one"), F.col("two").alias(f"{x}_two")), x)
@@ -140,9 +155,20 @@ def fuzzy_groups(lines: DataFrame, similarity: float = 0.8, most: int = MOST_BRO
     wanted = stored(members.select("h1").distinct())
     coded = stored(able.drop("picks").join(small(wanted, most=most), "h1", "left_semi").dropDuplicates(["h1"]))
     prints = stored(simhashed(coded, ["h1"], "c").groupBy("h1").agg(F.bit_or("fp").alias("fp")))
-    texts = coded.select("h1", code_text(F.col("c"), 0).alias("one"), code_text(F.col("c"), 12).alias("two"))
     rows = stored(members.join(prints, "h1"))
-    return bucket_groups(rows, _alike(similarity), lambda pairs: _verified(pairs, texts, similarity, most), BUCKET_LINES, lambda large: _runs(large, texts, similarity, most))
+
+    def coded_of(some: DataFrame) -> DataFrame:
+        return coded.join(small(stored(some.select("h1").distinct()), most=most), "h1")
+
+    return bucket_groups(
+        rows,
+        _alike(similarity),
+        lambda pairs: _verified(pairs, coded, similarity, most),
+        BUCKET_LINES,
+        lambda large: _runs(large, texts_of(coded_of(large)), similarity, most),
+        lambda rest: word_bits(coded_of(rest)),
+        _fits(similarity),
+    )
 
 
 def line_rows(docs: DataFrame, doc_id: str, text: str, separator: str = "\n") -> DataFrame:

@@ -175,6 +175,35 @@ def test_similar_lines_that_share_a_crowded_block_alone(spark, vocabulary):
     assert [r["doc_id"] for r in lines.dedup_lines(frame).where("text = ''").collect()] == [1]
 
 
+def test_unlike_lines_of_a_crowded_block_make_few_pairs(spark, vocabulary, monkeypatch):
+    # ten of forty words are each line's own, in the same places: one bucket, near fingerprints, no similar pair but the last
+    base, seen, verified = vocabulary[:40], [], lines._verified
+    rows = [[f"own{i}x{k}" if 15 <= k < 25 else w for k, w in enumerate(base)] for i in range(60)]
+    rows.append([*rows[-1][:39], "end"])
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(lines, "_verified", counted)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    assert [r["doc_id"] for r in lines.dedup_lines(frame).where("text = ''").collect()] == [60]
+    print(seen)
+    assert sum(seen) < 600, seen
+
+
+def test_word_bits_keep_all_similar_lines(spark, vocabulary):
+    rng = random.Random(9)
+    bases = [[rng.choice(vocabulary) for _ in range(n)] for n in (4, 9, 20, 60, 300) for _ in range(6)]
+    rows = sorted({tuple(changed(rng, w, vocabulary, rng.randint(0, len(w) // 4))) for w in bases for _ in range(8)})
+    frame = spark.createDataFrame([(1, i, len(w), 0, i, list(w)) for i, w in enumerate(rows)], "key long, h1 long, n int, fp long, root long, words array<string>")
+    marks = lines.word_bits(frame.select("h1", F.transform("words", lambda w: F.hash(w)).alias("c")))
+    marked, extra = frame.drop("words").join(marks, "h1"), [f"b{i}" for i in range(lines.MARKS)]
+    met = {(r["a"], r["b"]) for r in common._bucket_pairs(marked, marked, lines._fits(0.8), extra).collect()}
+    want = {(i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if i != j and linked(a, b)}
+    assert len(want) > 300 and want <= met and len(met) < len(rows) ** 2 / 4
+
+
 def test_permutations_and_repeated_rows(spark, vocabulary):
     # one fingerprint, no similar pair among nearly all: no line may go, and no pair of them all may be made
     rng = random.Random(8)
