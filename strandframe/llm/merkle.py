@@ -119,8 +119,9 @@ def build(leaves: DataFrame, order: list[str], arity: int = ARITY) -> Forest:
     """
     if not 2 <= arity <= 255:
         raise ValueError("arity must be from 2 to 255")
+    # not inside another scratch_tables(), with which the kept leaves would go; computed once, before ranges are sampled
     with scratch_tables(leaves.sparkSession):
-        leaves = stored(ranked(leaves, order), keep=True)
+        leaves = stored(ranked(stored(leaves), order), keep=True)
     rows, links, top = leaves.select("tree", F.lit(0).alias("level"), "at", "size", "digest"), None, FIRST_LEVEL
     while True:
         made = stored(rows.mapInArrow(lambda batches: combined(batches, arity), NODE), keep=True)
@@ -248,9 +249,7 @@ def manifest(docs: DataFrame, columns: list[str], group: str, order: str, others
         extra[name] = F.when(where, leaf_digest(*[new if c == column else F.col(c) for c in columns]))
     key = F.col(order).alias("key")
     leaves = docs.select(tree_key(F.col(group).cast("string")).alias("tree"), key, leaf_digest(*[F.col(c) for c in columns]).alias("digest"), *[v.alias(n) for n, v in extra.items()])
-    # hashed once, before ranges are sampled
-    with scratch_tables(docs.sparkSession):
-        groups = build(stored(leaves), ["key", "digest"], arity)
+    groups = build(leaves, ["key", "digest"], arity)
     subroots = groups.roots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest")
     whole = build(subroots, ["name"], arity)
     over = proofs(whole).select(F.col("name").alias("tree"), "siblings", "shape")

@@ -1,8 +1,10 @@
 """Exact dedup, Merkle manifest and hard negatives against plain versions."""
 
 import hashlib
+import os
 import random
 import zlib
+from urllib.parse import urlparse
 
 import duckdb
 import numpy as np
@@ -78,6 +80,16 @@ def test_manifest_of_other_arity(spark):
         merkle.manifest(rows, ["id"], "g", "id", arity=1)
 
 
+def test_tables_of_a_manifest_outlive_its_scratch_tables(spark, monkeypatch):
+    build, forests = merkle.build, []
+    monkeypatch.setattr(merkle, "build", lambda *a: forests.append(build(*a)) or forests[-1])
+    rows = spark.createDataFrame([(i, f"g{i % 3}", f"v{i}") for i in range(40)], "id long, g string, v string")
+    report = merkle.manifest(rows, ["id", "v"], "g", "id")
+    files = [f for forest in forests for t in (forest.leaves, forest.links, forest.roots) for f in t.inputFiles()]
+    assert len(forests) == 2 and [f for f in files if not os.path.exists(urlparse(f).path)] == []
+    assert report.count() == 40
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_duplicates(spark, keep, monkeypatch):
     monkeypatch.setattr(exact, "ROUNDS", 1)
