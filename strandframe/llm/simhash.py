@@ -104,7 +104,8 @@ def links(prints: DataFrame, max_bits: int = 3) -> DataFrame:
     for level in (1, 2, 3):
         keys, plain = [f"k{i}" for i in range(1, level + 1)], F.col(f"plain{level}")
         stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(plain).alias("plain_n")).where("n > 1 and plain_n > 0")
-        members = checkpointed(rows.join(stats, keys))
+        # Spark sizes exploded rows as those before the explode and would broadcast them all; what comes of this join is sized the same
+        members = checkpointed(rows.join(stats.hint("merge"), keys))
         hot = F.col("n") * F.col("plain_n") > (BUCKET_PAIRS if level < 3 else 1 << 62)
         found.append(_verified(members.where(~hot), keys, level, max_bits))
         if level == 3 or (cut := members.where(hot).drop("n", "plain_n")).isEmpty():
@@ -121,7 +122,7 @@ def _verified(members: DataFrame, keys: list[str], level: int, max_bits: int) ->
     before = [f"plain{i}" for i in range(1, level)]
     one = members.where(f"plain{level}").select(*keys, F.col("fp").alias("a"), *[F.col(c).alias(f"a_{c}") for c in before])
     two = members.select(*keys, F.col("fp").alias("b"), *before)
-    pairs = one.join(two, keys).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
+    pairs = one.join(two.hint("merge"), keys).where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits))
     for c in before:
         pairs = pairs.where(F.col(f"a_{c}") | F.col(c))
     return pairs.select("a", "b")

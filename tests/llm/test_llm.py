@@ -143,6 +143,16 @@ def test_hamming_links(spark, monkeypatch):
         assert {(r["a"], r["b"]) for r in simhash.links(frame).collect()} == want
 
 
+def test_hamming_links_broadcast_no_variants(spark, monkeypatch):
+    checkpointed, frames = simhash.checkpointed, []
+    monkeypatch.setattr(simhash, "checkpointed", lambda df: frames.append(df) or checkpointed(df))
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 20)
+    pairs = simhash.links(spark.range(300).select(F.col("id").alias("fp")))
+    assert pairs.count() > 300 and len(frames) == 3
+    plans = [f._jdf.queryExecution().executedPlan().toString() for f in [*frames, pairs]]
+    assert [p for p in plans if "SortMergeJoin" not in p or "Broadcast" in p] == []
+
+
 def test_quality(spark, awkward):
     big = "/root/testdata/sf0.1"
     got = queries.op5_quality_classifier(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").toPandas()
